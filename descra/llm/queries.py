@@ -3,8 +3,19 @@
 from __future__ import annotations
 
 from descra.llm.arrow_files import op3_arrow_token_files
+from descra.llm.decontaminate import op7_benchmark_decontamination
+from descra.llm.jaccard import op10_token_group_jaccard_join
 from descra.llm.packing import op4_best_fit_packing
 from descra.llm.token_counts import op1_section_token_counts
 
-QUERIES = {f.__name__: f for f in (op1_section_token_counts, op3_arrow_token_files, op4_best_fit_packing)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_section_token_counts,
+        op3_arrow_token_files,
+        op4_best_fit_packing,
+        op7_benchmark_decontamination,
+        op10_token_group_jaccard_join,
+    )
+}
 SQL: dict[str, str] = {}
