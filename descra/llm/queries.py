@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from descra.llm.arrow_files import op3_arrow_token_files
+from descra.llm.chat import op8_incremental_chat_formatting
 from descra.llm.decontaminate import op7_benchmark_decontamination
+from descra.llm.html_template import op9_template_html_extraction
 from descra.llm.jaccard import op10_token_group_jaccard_join
 from descra.llm.packing import op4_best_fit_packing
 from descra.llm.token_counts import op1_section_token_counts
@@ -15,6 +17,8 @@ QUERIES = {
         op3_arrow_token_files,
         op4_best_fit_packing,
         op7_benchmark_decontamination,
+        op8_incremental_chat_formatting,
+        op9_template_html_extraction,
         op10_token_group_jaccard_join,
     )
 }
