@@ -5,6 +5,7 @@ from __future__ import annotations
 from descra.llm.arrow_files import op3_arrow_token_files
 from descra.llm.chat import op8_incremental_chat_formatting
 from descra.llm.decontaminate import op7_benchmark_decontamination
+from descra.llm.embeddings import op2_pca_tiled_embedding_dedup
 from descra.llm.html_template import op9_template_html_extraction
 from descra.llm.jaccard import op10_token_group_jaccard_join
 from descra.llm.packing import op4_best_fit_packing
@@ -14,6 +15,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_section_token_counts,
+        op2_pca_tiled_embedding_dedup,
         op3_arrow_token_files,
         op4_best_fit_packing,
         op7_benchmark_decontamination,
