@@ -1,11 +1,55 @@
-"""The corpus pipeline."""
+"""Five stages over documents: toxicity, line dedup, n-gram Jaccard join, benchmark decontamination, best-fit packing.
 
-STAGES: list = []
+Each stage reads what its predecessor wrote; all but the last return the columns
+of ``documents``.  The last returns a row for each packed piece, with its ids.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from descra.llm import decontaminate, jaccard, kit, line_dedup, packing, toxicity
+
+
+def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score under 0.5, learned from the labels outside the held-out fold."""
+    return toxicity.remove_toxic(docs, docs, kit.read(spark, sf_dir, "labels"))
+
+
+def remove_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without passages that a document with a smaller doc_id has."""
+    return line_dedup.deduplicate(docs)
+
+
+def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group linked by a Jaccard similarity of 0.8 or more of five-word shingles."""
+    return jaccard.deduplicate(docs, n=5, percent=80)
+
+
+def remove_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which benchmark windows cover less than a twentieth."""
+    return decontaminate.decontaminate(docs, kit.read(spark, sf_dir, "benchmark"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, piece, start, length, ids, sequence_id, offset of every piece."""
+    return packing.place(packing.pieces(docs))
+
+
+STAGES = [
+    ("toxicity", remove_toxic),
+    ("line_dedup", remove_repeated_lines),
+    ("jaccard_join", remove_near_duplicates),
+    ("decontamination", remove_contaminated),
+    ("packing", pack),
+]
+
+#: SQL can express neither the tokenizer nor the trained model; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, f in STAGES:
-        docs = f(spark, docs, sf_dir)
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = kit.read(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = kit.written(stage(spark, docs, sf_dir), f"stage-{name}")
     return docs

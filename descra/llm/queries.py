@@ -8,8 +8,10 @@ from descra.llm.decontaminate import op7_benchmark_decontamination
 from descra.llm.embeddings import op2_pca_tiled_embedding_dedup
 from descra.llm.html_template import op9_template_html_extraction
 from descra.llm.jaccard import op10_token_group_jaccard_join
+from descra.llm.line_dedup import op6_line_chunk_dedup
 from descra.llm.packing import op4_best_fit_packing
 from descra.llm.token_counts import op1_section_token_counts
+from descra.llm.toxicity import op5_boosted_toxicity
 
 QUERIES = {
     f.__name__: f
@@ -18,6 +20,8 @@ QUERIES = {
         op2_pca_tiled_embedding_dedup,
         op3_arrow_token_files,
         op4_best_fit_packing,
+        op5_boosted_toxicity,
+        op6_line_chunk_dedup,
         op7_benchmark_decontamination,
         op8_incremental_chat_formatting,
         op9_template_html_extraction,
