@@ -168,19 +168,19 @@ def merged_tables(spark, sf_dir):
     return merged.groupBy("n_name", "o_orderpriority").agg(F.count("*").alias("n"), q6(F.sum("o_totalprice") / 1e6).alias("total"))
 
 
-@query("""SELECT doc_id::VARCHAR AS doc_id, source, quality, toxic FROM documents LEFT JOIN labels USING (doc_id)""")
+@query("""SELECT doc_id::VARCHAR AS doc_id, source, coalesce(quality::BIGINT, -1) AS quality, coalesce(toxic::BIGINT, -1) AS toxic FROM documents LEFT JOIN labels USING (doc_id)""")
 def left_in_order(spark, sf_dir):
-    return joins.in_order_of(read(spark, sf_dir, "documents").select("doc_id", "source"), read(spark, sf_dir, "labels"), "doc_id").select("doc_id", "source", "quality", "toxic")
+    return joins.in_order_of(read(spark, sf_dir, "documents").select("doc_id", "source"), read(spark, sf_dir, "labels"), "doc_id").select("doc_id", "source", *[F.coalesce(F.col(c).cast("long"), F.lit(-1)).alias(c) for c in ("quality", "toxic")])
 
 
 @query("""WITH r AS (SELECT o_custkey AS k, CASE WHEN o_orderstatus = 'O' THEN '' ELSE o_orderstatus END AS code, min(o_orderkey) AS v FROM orders GROUP BY 1, 2),
  u AS (SELECT k, count(DISTINCT code) AS n, max(CASE WHEN code = '' THEN v END) AS plain, max(v) AS only FROM r GROUP BY 1),
  l AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 3 = 0 THEN 'F' ELSE '' END AS code FROM customer)
- SELECT l.k, l.code, coalesce(r.v, CASE WHEN l.code = '' THEN CASE WHEN u.n = 1 THEN u.only ELSE u.plain END END) AS v FROM l LEFT JOIN r ON r.k = l.k AND r.code = l.code LEFT JOIN u ON u.k = l.k""")
+ SELECT l.k, l.code, coalesce(r.v, CASE WHEN l.code = '' THEN CASE WHEN u.n = 1 THEN u.only ELSE u.plain END END, -1) AS v FROM l LEFT JOIN r ON r.k = l.k AND r.code = l.code LEFT JOIN u ON u.k = l.k""")
 def key_repair(spark, sf_dir):
     right = read(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("k"), F.when(F.col("o_orderstatus") == "O", "").otherwise(F.col("o_orderstatus")).alias("code")).agg(F.min("o_orderkey").alias("v"))
     left = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.when(F.col("c_custkey") % 3 == 0, "F").otherwise("").alias("code"))
-    return joins.repaired(left, right, ["k"], "code", "v").select("k", "code", "v")
+    return joins.repaired(left, right, ["k"], "code", "v").select("k", "code", F.coalesce("v", F.lit(-1)).alias("v"))
 
 
 @query(f"WITH {POINTS} SELECT a.label, a.vec_id, b.vec_id AS to_vec_id, {Q6(f'sqrt({D2})')} AS distance FROM p a JOIN p b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE {D2} <= 0.05*0.05")

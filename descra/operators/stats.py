@@ -12,6 +12,8 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from descra.operators.columns import quoted
+
 BUCKETS = 256
 
 
@@ -20,17 +22,22 @@ def running_counts(df: DataFrame, keys: list[str], value: str, buckets: int = BU
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n"))
     spans = counts.groupBy(*keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
     width = F.col("_hi").cast("double") - F.col("_lo").cast("double")
-    place = F.floor((F.col(value).cast("double") - F.col("_lo").cast("double")) / width * buckets)
+    place = F.floor(F.try_divide(F.col(value).cast("double") - F.col("_lo").cast("double"), width) * buckets)
     counts = _with(counts, spans, keys).withColumn("_bucket", F.when(width > 0, F.least(place, F.lit(buckets - 1))).otherwise(F.lit(0)).cast("int"))
     totals = counts.groupBy(*keys, "_bucket").agg(F.sum("n").alias("_total"))
     before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     bases = totals.select(*keys, "_bucket", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_base"))
     inside = Window.partitionBy(*keys, "_bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    return counts.join(bases, [*keys, "_bucket"]).select(*keys, value, "n", (F.col("_base") + F.coalesce(F.sum("n").over(inside), F.lit(0))).alias("below"))
+    return _with(counts, bases, [*keys, "_bucket"]).select(*keys, value, "n", (F.col("_base") + F.coalesce(F.sum("n").over(inside), F.lit(0))).alias("below"))
 
 
 def _with(df: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    return df.join(right, keys) if keys else df.crossJoin(F.broadcast(right))  # one row
+    """df with right's columns by keys, where null is a key like any other."""
+    if not keys:
+        return df.crossJoin(F.broadcast(right))  # one row
+    right = right.select(*[F.col(k).alias(f"_r{i}") if k in keys else F.col(k) for i, k in enumerate(right.columns)])
+    on = [F.col(k).eqNullSafe(F.col(f"_r{i}")) for i, k in enumerate(keys)]
+    return df.join(right, on).drop(*[f"_r{i}" for i in range(len(keys))])
 
 
 def average_rank(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
@@ -51,12 +58,17 @@ def metrics(df: DataFrame, keys: list[str], y: str, yhat: str, ranked: bool = Tr
     n = F.count("*")
     good = (n >= 2) & (F.max("_y") > F.min("_y")) & (F.max("_p") > F.min("_p"))
     sse = F.sum(F.pow(F.col("_y") - F.col("_p"), F.lit(2)))
-    out = [n.alias("n"), F.when(good, F.corr("_y", "_p")).alias("pearson"), F.when(good, 1 - sse / (F.var_pop("_y") * n)).alias("r2"), F.when(good, sse / n).alias("mse")]
+    out = [n.alias("n"), F.when(good, _corr("_y", "_p")).alias("pearson"), F.when(good, 1 - F.try_divide(sse, F.var_pop("_y") * n)).alias("r2"), F.when(good, F.try_divide(sse, n)).alias("mse")]
     if ranked:
-        out.insert(1, F.when(good, F.corr("_ry", "_rp")).alias("spearman"))
+        out.insert(1, F.when(good, _corr("_ry", "_rp")).alias("spearman"))
     return (ok.groupBy(*keys) if keys else ok).agg(*out)
 
 
+def _corr(a, b) -> Column:
+    """corr, but null where a side does not vary."""
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+
+
 def p_value(r: float | None, n: int) -> float | None:
     """Two-sided p of a correlation by Student's t, through the incomplete beta function."""
     if r is None or n < 3:
@@ -102,7 +114,7 @@ def correlations(df: DataFrame, columns: list[str], least: int = 3, spearman: bo
             out = out.unionByName(p)
         return out
     both = lambda a, b: F.col(a).isNotNull() & F.col(b).isNotNull()
-    sums = [x for i, (a, b) in enumerate(pairs) for x in (F.corr(F.when(both(a, b), F.col(a).cast("double")), F.when(both(a, b), F.col(b).cast("double"))).alias(f"r{i}"), F.count_if(both(a, b)).alias(f"n{i}"))]
+    sums = [x for i, (a, b) in enumerate(pairs) for x in (_corr(F.when(both(a, b), F.col(a).cast("double")), F.when(both(a, b), F.col(b).cast("double"))).alias(f"r{i}"), F.count_if(both(a, b)).alias(f"n{i}"))]
     row = df.agg(*sums)
     return row.select(F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.when(F.col(f"n{i}") >= least, F.col(f"r{i}")).alias("r"), F.col(f"n{i}").alias("n")) for i, (a, b) in enumerate(pairs)])).alias("_")).select("_.*")
 
@@ -123,21 +135,24 @@ def benjamini_hochberg(df: DataFrame, keys: list[str], p: str, name: str = "q")
 
 def scaling(df: DataFrame, columns: list[str], train: Column | None = None) -> DataFrame:
     """One row: min, max, population std and mean of each column over the train rows."""
-    at = lambda c: F.when(train, F.col(c)) if train is not None else F.col(c)
+    at = lambda c: F.when(train, F.col(quoted(c))) if train is not None else F.col(quoted(c))
     return df.agg(*[f(at(c)).alias(f"{c}__{n}") for c in columns for n, f in (("lo", F.min), ("hi", F.max), ("sd", F.stddev_pop), ("mean", F.avg))])
 
 
 def min_max(df: DataFrame, columns: list[str], train: Column | None = None) -> DataFrame:
     """Columns scaled to the train rows' range; a constant column is 0."""
     known = df.crossJoin(F.broadcast(scaling(df, columns, train)))  # one row
-    return known.select(*[c for c in df.columns if c not in columns], *[F.when(F.col(f"{c}__hi") > F.col(f"{c}__lo"), (F.col(c) - F.col(f"{c}__lo")) / (F.col(f"{c}__hi") - F.col(f"{c}__lo"))).otherwise(F.lit(0.0)).alias(c) for c in columns]).select(*df.columns)
+    of = lambda c, n: F.col(quoted(f"{c}__{n}"))
+    scaled = lambda c: F.coalesce(F.try_divide(F.col(quoted(c)) - of(c, "lo"), of(c, "hi") - of(c, "lo")), F.when(F.col(quoted(c)).isNotNull(), F.lit(0.0)))
+    return known.select(*[scaled(c).alias(c) if c in columns else F.col(quoted(c)) for c in df.columns])
 
 
 def relative_spread(df: DataFrame, columns: list[str], least: float = 0.01) -> DataFrame:
     """feature, spread (population std over the absolute mean, after min-max scaling), keep."""
     row = scaling(df, columns)
-    width = lambda c: F.col(f"{c}__hi") - F.col(f"{c}__lo")
-    spread = lambda c: F.when(width(c) > 0, F.col(f"{c}__sd") / width(c) / (F.abs((F.col(f"{c}__mean") - F.col(f"{c}__lo")) / width(c)) + 1e-8)).otherwise(F.lit(0.0))
+    of = lambda c, n: F.col(quoted(f"{c}__{n}"))
+    width = lambda c: of(c, "hi") - of(c, "lo")
+    spread = lambda c: F.coalesce(F.try_divide(of(c, "sd"), width(c)) / (F.abs(F.try_divide(of(c, "mean") - of(c, "lo"), width(c))) + 1e-8), F.lit(0.0))
     return row.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), spread(c).alias("spread")) for c in columns])).alias("_")).select("_.*").withColumn("keep", F.col("spread") >= least)
 
 
