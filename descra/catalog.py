@@ -309,5 +309,64 @@ def task_table(spark, sf_dir):
     return joins.tasks(r, n, read(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("segment")).distinct()).drop("task_id")
 
 
+def molecules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points in groups of 50 at most, as small as a molecule."""
+    return points(spark, sf_dir).withColumn("structure_id", F.concat_ws(":", F.col("label").cast("string"), F.floor(F.col("vec_id") / 50).cast("string")))
+
+
+@query()
+def point_clusters(spark, sf_dir):
+    from descra.operators import clusters
+
+    found = clusters.cluster(molecules(spark, sf_dir).select("structure_id", "vec_id", "x", "y", "z"), ["structure_id"], 0.12, 2, "vec_id")
+    return found.select("structure_id", "vec_id", "cluster")
+
+
+@query()
+def hull_volumes(spark, sf_dir):
+    import pandas as pd
+
+    from descra.operators import clusters
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"structure_id": [frame.structure_id.iloc[0]], "volume": [clusters.hull_volume(frame[["x", "y", "z"]].to_numpy())]})
+
+    return molecules(spark, sf_dir).groupBy("structure_id").applyInPandas(run, "structure_id string, volume double").select("structure_id", q6(F.col("volume")).alias("volume"))
+
+
+@query()
+def isoelectric_points(spark, sf_dir):
+    from descra.operators import descriptors
+
+    rows = read(spark, sf_dir, "lineitem").select(F.concat_ws("-", "l_returnflag", "l_linestatus", (F.col("l_orderkey") % 200).cast("string")).alias("structure_id"), F.element_at(F.array(*map(F.lit, ("ASP", "GLU", "LYS", "ARG"))), (F.col("l_linenumber") % 4 + 1).cast("int")).alias("resname"), (F.col("l_discount") * 100 + 1).alias("pka"))
+    return descriptors.isoelectric(rows).select("structure_id", q6(F.col("protein_pi")).alias("protein_pi"))
+
+
+@query()
+def shuffled_folds(spark, sf_dir):
+    names = sorted(r.n_name for r in read(spark, sf_dir, "nation").select("n_name").collect())  # an assay table is small
+    return folds.shuffled_folds(spark, names, 5, 42)
+
+
+@query()
+def pruned_features(spark, sf_dir):
+    rows = stats.correlations(read(spark, sf_dir, "lineitem"), NUMBERS).collect()  # a row a pair of columns
+    with_target = {r.b if r.a == "l_quantity" else r.a: r.r for r in rows if "l_quantity" in (r.a, r.b)}
+    kept = stats.prune_pairs([(r.a, r.b, r.r) for r in rows if "l_quantity" not in (r.a, r.b)], with_target)
+    return spark.createDataFrame([(f,) for f in kept], "feature string")
+
+
+@query()
+def cross_validated_models(spark, sf_dir):
+    """A small assay: customers of two nations, their balance from their orders, in folds by key."""
+    from descra.operators import crossval
+
+    orders = read(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count("*").cast("double").alias("n_orders"), F.avg("o_totalprice").alias("mean_price"), F.max("o_totalprice").alias("top_price"))
+    own = read(spark, sf_dir, "customer").where("c_nationkey < 2").join(orders, F.col("c_custkey") == F.col("o_custkey"))
+    table = own.select(F.col("c_name").alias("name"), (F.col("c_custkey") % 3).cast("int").alias("fold"), F.col("c_custkey").alias("row_ord"), "n_orders", "mean_price", "top_price", F.col("c_acctbal").alias("target_balance"))
+    some = (crossval.Technique("elasticnet", prune=False, models=("elasticnet",), alphas=(0.1, 1.0), l1_ratios=(0.5,)), crossval.Technique("intercorr_svm", models=("linear",)))
+    return crossval.cross_validate(table, ["target_balance"], ["n_orders", "mean_price", "top_price"], some).select("target_col", "technique", "outer_fold", "eval_model", "n_test", "error")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics_by_group(spark, sf_dir)
