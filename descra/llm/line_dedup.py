@@ -7,7 +7,8 @@ than those before and after it: equal passages get equal chunks wherever they
 stand, but for those at their edges, and chunks have two lines at least.  A
 chunk belongs to the smallest doc_id that holds it.  In every other document a
 chunk with the same hash is compared with the owner's byte by byte; runs of equal
-chunks with at least ``least_lines`` lines and ``least_words`` words are removed.
+chunks with at least ``least_words`` words, and ``least_lines`` lines or else
+``LONG_WORDS`` words (a line that nothing breaks), are removed.
 Inside one document the first copy of a chunk is the one that stays.
 
 Hashes go through one pre-aggregated grouping (the owner is a minimum); only
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 from descra.llm import kit, words
 from descra.llm.tokens import as_strings, slices
 
-LEAST_LINES, LEAST_WORDS, SLICE_BYTES = 2, 16, 2 << 20
+LEAST_LINES, LEAST_WORDS, LONG_WORDS, SLICE_BYTES = 2, 16, 50, 2 << 20
 
 
 def lows(x: np.ndarray, of: np.ndarray) -> np.ndarray:
@@ -111,7 +112,7 @@ def chunk_rows(docs: DataFrame) -> DataFrame:
                 new[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1])
                 yield pa.record_batch([pa.array(h[new]), batch.column(0).slice(at, len(some)).take(pa.array(d[new]))], names=["hash", "doc_id"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null").mapInArrow(run, "hash long, doc_id long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null").transform(kit.arrow(run, "hash long, doc_id long"))
 
 
 def kept(c: Chunks, i: int, shared: dict[int, bytes], least_lines: int, least_words: int) -> list[tuple[int, int]]:
@@ -131,7 +132,8 @@ def kept(c: Chunks, i: int, shared: dict[int, bytes], least_lines: int, least_wo
         j = k
         while j < b and repeated[j - a]:
             j += 1
-        if c.lines[k:j].sum() >= least_lines and c.words[k:j].sum() >= least_words:
+        n_words = c.words[k:j].sum()
+        if n_words >= least_words and (c.lines[k:j].sum() >= least_lines or n_words >= LONG_WORDS):
             out.append((at, int(c.begin[k])))
             at = int(c.end[j - 1])
         k = j
@@ -163,7 +165,7 @@ def deduplicate(docs: DataFrame, *, least_lines: int = LEAST_LINES, least_words:
                             out[h] = c.bytes(k)
                 yield pa.record_batch([pa.array(list(out), pa.int64()), pa.array(list(out.values()), pa.binary())], names=["hash", "bytes"])
 
-    given = own.join(mine, "key").mapInArrow(give, "hash long, bytes binary")
+    given = own.join(mine, "key").transform(kit.arrow(give, "hash long, bytes binary"))
     theirs = uses.where("doc_id <> owner").join(given, "hash").groupBy(F.col("doc_id").alias("key")).agg(F.collect_list(F.struct("hash", "bytes")).alias("shared"))
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,7 +189,7 @@ def deduplicate(docs: DataFrame, *, least_lines: int = LEAST_LINES, least_words:
                 yield pa.RecordBatch.from_arrays(columns, names=part.schema.names[:-1])
 
     found = own.join(theirs, "key", "left")
-    done = found.mapInArrow(rewrite, docs.toDF(*names).schema).toDF(*docs.columns)
+    done = found.transform(kit.arrow(rewrite, docs.toDF(*names).schema)).toDF(*docs.columns)
     if "n_chars" in docs.columns:
         done = done.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))
     return done

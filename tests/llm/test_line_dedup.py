@@ -30,7 +30,8 @@ def brute(rows, least_lines=ld.LEAST_LINES, least_words=ld.LEAST_WORDS):
             while j < len(flags) and flags[j] == flags[k]:
                 j += 1
             run = cut[n][k:j]
-            if not flags[k] or sum(x[2] for x in run) < least_lines or sum(x[3] for x in run) < least_words:
+            words = sum(x[3] for x in run)
+            if not flags[k] or words < least_words or sum(x[2] for x in run) < least_lines and words < 50:
                 text += b"".join(x[1] for x in run).decode()
             elif k == 0:  # white space that leads a text stays
                 text += t[: len(t) - len(t.lstrip(" \t\n\x0b\x0c\r"))]
@@ -50,7 +51,7 @@ def corpus(seed):
         for _ in range(r.randint(0, 2)):
             parts.insert(r.randrange(len(parts) + 1), r.choice(passages))
         rows.append((d * 7 % 61, "".join(parts)))
-    return rows + [(900, rows[20][1]), (901, rows[20][1]), (902, "long line " * 20000)], passages
+    return rows + [(903, "same " * 60), (904, "same " * 60), (905, "same " * 20), (906, "same " * 20), (900, rows[20][1]), (901, rows[20][1]), (902, "long line " * 20000)], passages
 
 
 @pytest.mark.parametrize("seed", [1, 2, 3])
