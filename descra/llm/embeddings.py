@@ -88,7 +88,7 @@ def bases(vectors: DataFrame) -> dict[int, np.ndarray]:
 
     def packed(total: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
         if total:
-            part = TaskContext.get().partitionId() % 64
+            part = TaskContext.get().partitionId() % 16
             yield pa.record_batch([pa.array([part] * len(total), pa.int64()), pa.array(list(total), pa.int64()), pa.array([m.tobytes() for m in total.values()], pa.binary())], names=["part", "size", "moments"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,9 +99,9 @@ def bases(vectors: DataFrame) -> dict[int, np.ndarray]:
         yield from packed(total)
 
     schema = "part long, size long, moments binary"
-    sums = vectors.select("size", "embedding").mapInArrow(moments, schema).repartition(64, "part").mapInArrow(add, schema)
+    sums = vectors.select("size", "embedding").transform(kit.arrow(moments, schema)).repartition(16, "part").transform(kit.arrow(add, schema))
     total: dict[int, np.ndarray] = {}
-    for r in sums.collect():  # at most 64 matrices of a length
+    for r in sums.collect():  # at most 16 matrices of a length
         total[r.size] = total.get(r.size, 0) + np.frombuffer(r.moments).reshape(r.size, r.size)
     return {size: np.linalg.eigh(m)[1][:, ::-1].copy() for size, m in total.items()}
 
@@ -146,10 +146,10 @@ def tiles(vectors: DataFrame, basis: dict[int, np.ndarray], *, tile: int = TILE,
         if held:
             yield flush()
 
-    coded = kit.written(vectors.mapInArrow(code, "vec_id long, label string, size long, code long, row binary"), "coded")
+    coded = kit.written(vectors.transform(kit.arrow(code, "vec_id long, label string, size long, code long, row binary")), "coded")
     order = ["label", "size", "code", "vec_id"]
     ordered = coded.repartitionByRange(kit.partitions(coded), *order).sortWithinPartitions(*order)
-    return kit.written(ordered.select("vec_id", "label", "size", "row").mapInArrow(cut, "tile long, label string, size long, low array<double>, high array<double>, ids binary, rows binary"), "tiles")
+    return kit.written(ordered.select("vec_id", "label", "size", "row").transform(kit.arrow(cut, "tile long, label string, size long, low array<double>, high array<double>, ids binary, rows binary")), "tiles")
 
 
 def tile_pairs(cut: DataFrame, threshold: float) -> DataFrame:
@@ -246,7 +246,7 @@ def links(cut: DataFrame, basis: dict[int, np.ndarray], *, threshold: float = TH
                 ordered = both[order]
                 yield pa.record_batch([pa.array(ordered[some]), pa.array(n[some]), pa.array(ordered[root[some]])], names=["vec_id", "n", "root"])
 
-    return rows.mapInArrow(run, "vec_id long, n long, root long")
+    return rows.transform(kit.arrow(run, "vec_id long, n long, root long"))
 
 
 def near_duplicates(vectors: DataFrame, *, threshold: float = THRESHOLD, tile: int = TILE) -> DataFrame:
