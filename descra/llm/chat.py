@@ -141,7 +141,7 @@ def format_conversations(turns: DataFrame, *, render: Callable[[list[Turn]], str
     ordered = turns.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", "role", "text")
     # The number of partitions follows the input and is fixed: conversations stay whole.
     ordered = ordered.repartition(kit.partitions(ordered), "conv_id").sortWithinPartitions(F.col("conv_id"), F.col("turn").asc_nulls_first(), F.col("role").asc_nulls_first(), F.col("text").asc_nulls_first())
-    return ordered.select("conv_id", "role", "text").mapInArrow(run, FORMATTED)
+    return ordered.select("conv_id", "role", "text").transform(kit.arrow(run, FORMATTED))
 
 
 def digests(formatted: DataFrame) -> DataFrame:
@@ -158,7 +158,7 @@ def digests(formatted: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_pylist(out, schema=schema)
 
     schema = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())])
-    return formatted.select("conv_id", "formatted", "spans").mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return formatted.select("conv_id", "formatted", "spans").transform(kit.arrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"))
 
 
 def op8_incremental_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:

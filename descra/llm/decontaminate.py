@@ -192,7 +192,7 @@ def report(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, share
     for b in range(blocks):
         block = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
         rows = block.collect()  # at most about block_bytes
-        now = now.mapInArrow(_pass(TestSuffixes([r.item_id for r in rows], [r.text for r in rows], window), text), now.schema)
+        now = now.transform(kit.arrow(_pass(TestSuffixes([r.item_id for r in rows], [r.text for r in rows], window), text), now.schema))
     n_hit = F.aggregate("hits", F.lit(0), lambda s, x: s + x.end - x.begin)
     found = F.struct(
         F.col("n_words").cast("long").alias("n_words"),

@@ -194,7 +194,7 @@ def occurrences(pages: DataFrame) -> DataFrame:
                         count.append(n)
                 yield pa.record_batch([pa.array(host, pa.string()), pa.array(token, pa.int64()), pa.array(text, pa.bool_()), pa.array(vector, pa.int64()), pa.array(count, pa.int64())], names=["host", "token", "is_text", "vector", "n"])
 
-    return pages.select("host", "page", "html").mapInArrow(run, "host string, token long, is_text boolean, vector long, n long")
+    return pages.select("host", "page", "html").transform(kit.arrow(run, "host string, token long, is_text boolean, vector long, n long"))
 
 
 def classes(pages: DataFrame, *, support: float = SUPPORT) -> DataFrame:
@@ -281,7 +281,7 @@ def extract(pages: DataFrame, *, support: float = SUPPORT, few: int = FEW, broad
                 yield pa.record_batch([part.column(0), part.column(1), pa.array(out, pa.string()), pa.array([len(x) for x in out], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     kinds = dict(pages.dtypes)
-    return found.select("page_id", "url", "host", "html", "pages", "tags", "texts").mapInArrow(run, f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars long")
+    return found.select("page_id", "url", "host", "html", "pages", "tags", "texts").transform(kit.arrow(run, f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars long"))
 
 
 def _fits(table: DataFrame, most: int) -> bool:

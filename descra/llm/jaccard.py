@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 from descra.llm import kit, words
 from descra.llm.tokens import as_strings, slices
 
-SLICE_BYTES, BLOCK, QUERIES = 2 << 20, 128, 512
+SLICE_BYTES, BLOCK, QUERIES = 1 << 20, 128, 512
 _U = np.uint64
 
 
@@ -164,7 +164,7 @@ def scan(docs: DataFrame, n: int, percent: int) -> DataFrame:
                 yield pa.record_batch([batch.column(0).slice(at, len(some)), pa.array(size.astype(np.int64)), pa.array(ids), lists], names=["doc_id", "n_shingles", "set_id", "signatures"])
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, set_id long, signatures array<long>")
+    return docs.transform(kit.arrow(run, "doc_id long, n_shingles long, set_id long, signatures array<long>"))
 
 
 def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -270,7 +270,7 @@ def shingle_sets(docs: DataFrame, n: int) -> DataFrame:
                 data = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(some), [None, pa.py_buffer(begin.astype(np.int64) * 8), pa.py_buffer(flat.astype("<u8"))])
                 yield pa.record_batch([pa.array(digests(flat, begin)), data.cast(pa.binary())], names=["set_id", "shingles"])
 
-    return docs.select("text").mapInArrow(run, "set_id long, shingles binary")
+    return docs.select("text").transform(kit.arrow(run, "set_id long, shingles binary"))
 
 
 def block_links(percent: int) -> Callable:
@@ -346,7 +346,7 @@ def by_block(df: DataFrame, *keys: str) -> DataFrame:
 def link_sets(signs: DataFrame, docs: DataFrame, ids: DataFrame, *, n: int, percent: int, block: int, queries: int) -> DataFrame:
     """Links (a, b) that span every component of the classes. signs: set_id, signatures; ids: set_id, doc_id of one document of each class."""
     rows = signs.where("signatures is not null").select(F.explode("signatures").alias("signature"), "set_id")
-    met = kit.written(by_block_sorted(rows).mapInArrow(buckets, "signature long, set_id long, least long"), "buckets")
+    met = kit.written(by_block_sorted(rows).transform(kit.arrow(buckets, "signature long, set_id long, least long")), "buckets")
     pivots = kit.written(met.groupBy("set_id").agg(F.min("least").alias("pivot")), "pivots")
     # Shingles only of classes that meet another: one document of each is read again.
     wanted = ids.join(pivots.select("set_id"), "set_id", "left_semi").select("doc_id")
@@ -356,7 +356,7 @@ def link_sets(signs: DataFrame, docs: DataFrame, ids: DataFrame, *, n: int, perc
     assigned = pivots.join(counts, "pivot").select("set_id", "pivot", F.pmod(F.xxhash64("set_id"), "blocks").alias("block"))
     # A class may come with several documents of one doc_id: any one row will do.
     members = kit.written(assigned.join(sets, "set_id").select("pivot", "block", "set_id", "shingles").dropDuplicates(["set_id"]), "members")
-    inside = kit.written(by_block(members, "pivot", "block").mapInArrow(block_links(percent), "pivot long, block long, set_id long, root long, tokens binary"), "blocks")
+    inside = kit.written(by_block(members, "pivot", "block").transform(kit.arrow(block_links(percent), "pivot long, block long, set_id long, root long, tokens binary")), "blocks")
     first = inside.where("root <> set_id").select(F.col("set_id").alias("a"), F.col("root").alias("b"))
     known = kit.components(first).select(F.col("node").alias("set_id"), "component")
     place = inside.where("set_id is not null").select("set_id", "pivot", "block").join(known, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
@@ -382,11 +382,11 @@ def link_sets(signs: DataFrame, docs: DataFrame, ids: DataFrame, *, n: int, perc
     own = members.select(F.col("set_id").alias("query"), "shingles")
     unions = inside.where("tokens is not null").select("pivot", "block", "tokens").join(parts, ["pivot", "block"]).select("pivot", "block", "part", F.lit(None).cast("long").alias("query"), F.col("tokens").alias("shingles"))
     bounded = by_block(asked.join(own, "query").select("pivot", "block", "part", "query", "shingles").unionByName(unions), "pivot", "block", "part")
-    opened = kit.written(bounded.mapInArrow(bound_queries(percent), "pivot long, block long, part long, query long"), "opened")
+    opened = kit.written(bounded.transform(kit.arrow(bound_queries(percent), "pivot long, block long, part long, query long")), "opened")
     components = place.select("set_id", "component")
     asking = opened.withColumnRenamed("query", "set_id").join(members.select("set_id", "shingles"), "set_id").join(components, "set_id").select("pivot", "block", "part", "set_id", "shingles", "component", F.lit(True).alias("is_query"))
     answering = members.join(opened.select("pivot", "block", "part").distinct(), ["pivot", "block"]).join(components, "set_id").select("pivot", "block", "part", "set_id", "shingles", "component", F.lit(False).alias("is_query"))
-    second = by_block(asking.unionByName(answering), "pivot", "block", "part").mapInArrow(open_blocks(percent), "a long, b long")
+    second = by_block(asking.unionByName(answering), "pivot", "block", "part").transform(kit.arrow(open_blocks(percent), "a long, b long"))
     return kit.written(first.unionByName(second), "links")
 
 

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,6 +38,31 @@ def drop(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: Bytes of a batch between Spark and Python: texts may be long, so rows alone do not bound one.
+ARROW_BYTES = 8 << 20
+
+
+def arrow(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> Callable[[DataFrame], DataFrame]:
+    """For DataFrame.transform: mapInArrow with batches bounded in bytes, after which a worker gives its free memory back."""
+
+    def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            libc = ctypes.CDLL(None)
+            if hasattr(libc, "malloc_trim"):
+                libc.malloc_trim(0)
+
+    def apply(df: DataFrame) -> DataFrame:
+        conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+        if int(conf.get(name).rstrip("b")) > ARROW_BYTES:
+            conf.set(name, ARROW_BYTES)
+        return df.mapInArrow(released, schema)
+
+    return apply
+
+
 def partitions(df: DataFrame) -> int:
     """As many as the scan has: they follow the input's size."""
     return max(1, df.rdd.getNumPartitions())
@@ -50,7 +78,9 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """
     spark = edges.sparkSession
     both = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    now, path, before = both, None, None
+    path, before = scratch(spark, name), None
+    both.write.parquet(path)  # each step reads its edges three times
+    now = spark.read.schema(both.schema).parquet(path)
     while True:
         two_way = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = two_way.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
@@ -64,8 +94,7 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         now = spark.read.schema(small.schema).parquet(new)
         # Done when every node has one parent and no parent has one itself, and nothing moved.
         state = now.agg(F.count("*"), F.countDistinct("u"), F.sum(F.xxhash64("u", "v") % (1 << 40))).first()
-        if path:
-            drop(spark, path)
+        drop(spark, path)
         path = new
         if tuple(state) == before:
             break

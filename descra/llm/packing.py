@@ -71,7 +71,7 @@ def pieces(docs: DataFrame, *, vocabulary: str | None = None, capacity: int = CA
                 )
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return kit.written(docs.mapInArrow(cut, PIECES), "pieces")
+    return kit.written(docs.transform(kit.arrow(cut, PIECES)), "pieces")
 
 
 def reduce(count: Counter[int], capacity: int) -> list[Pattern]:

@@ -124,7 +124,7 @@ def count_tokens(docs: DataFrame, *, rule: str = "start", spans: str | None = No
         return pa.record_batch([keys.take(pa.array(doc)), pa.array(section.astype(np.int32)), pa.array((chars[high] - chars[low]).astype(np.int64)), pa.array(n.astype(float) if rule == "fraction" else n.astype(np.int64))], names=["doc_id", "section", "n_chars", "n_tokens"])
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *([F.col(spans)] if spans else []))
-    return docs.mapInArrow(count, f"doc_id long, section int, n_chars long, n_tokens {'double' if rule == 'fraction' else 'long'}")
+    return docs.transform(kit.arrow(count, f"doc_id long, section int, n_chars long, n_tokens {'double' if rule == 'fraction' else 'long'}"))
 
 
 def op1_section_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

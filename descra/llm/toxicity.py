@@ -90,7 +90,7 @@ def lexicon_rows(sample: DataFrame) -> DataFrame:
                 hit = np.bincount(index, toxic[d], len(key)).astype(np.int64)
                 yield pa.record_batch([pa.array(key.view(np.int64)), pa.array(hit), pa.array(np.bincount(index, minlength=len(key)).astype(np.int64) - hit)], names=["entry", "toxic", "clean"])
 
-    return sample.select("text", "toxic").mapInArrow(run, "entry long, toxic long, clean long").groupBy("entry").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    return sample.select("text", "toxic").transform(kit.arrow(run, "entry long, toxic long, clean long")).groupBy("entry").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
 FEATURES = [
@@ -290,7 +290,7 @@ def learn(docs: DataFrame, labels: DataFrame, *, folds: int = FOLDS, sample: int
                 rows = features(some, strong, weak)
                 yield pa.record_batch([batch.column(0).slice(at, len(some)), batch.column(2).slice(at, len(some)), pa.array(list(rows), pa.list_(pa.float64()))], names=["doc_id", "toxic", "row"])
 
-    got = sorted(texts.select("doc_id", "text", "toxic").mapInArrow(run, "doc_id long, toxic long, row array<double>").collect())
+    got = sorted(texts.select("doc_id", "text", "toxic").transform(kit.arrow(run, "doc_id long, toxic long, row array<double>")).collect())
     rows, y = np.array([r.row for r in got]).reshape(-1, len(FEATURES)), np.array([r.toxic for r in got], np.int64)
     apart = np.array([zlib.crc32(f"apart {r.doc_id}".encode()) % 4 == 0 for r in got], bool)
     return Scorer(strong, weak, train(rows, y, apart))
@@ -308,7 +308,7 @@ def with_scores(docs: DataFrame, scorer: Scorer) -> DataFrame:
 
     own = docs.toDF(*[f"in_{i}" for i in range(len(docs.columns))])
     schema = own.withColumn("_score", F.lit(0.0)).schema
-    return own.mapInArrow(run, schema).toDF(*docs.columns, "toxicity")
+    return own.transform(kit.arrow(run, schema)).toDF(*docs.columns, "toxicity")
 
 
 def remove_toxic(docs: DataFrame, labelled: DataFrame, labels: DataFrame, *, threshold: float = 0.5, **options) -> DataFrame:
