@@ -195,9 +195,9 @@ def neighbour_charge(spark, sf_dir):
     return total.groupBy("label").agg(F.sum(F.least(F.col("total"), F.lit(0.0))).alias("negative"), F.sum(F.greatest(F.col("total"), F.lit(0.0))).alias("positive"))
 
 
-@query(f"WITH {POINTS} SELECT label, vec_id FROM p b WHERE EXISTS (SELECT 1 FROM p a WHERE a.label = b.label AND a.vec_id % 10 = 0 AND {D2} <= 0.01)")
+@query(f"WITH {POINTS} SELECT label, vec_id FROM p b WHERE EXISTS (SELECT 1 FROM p a WHERE a.label = b.label AND a.x > 0.2 AND {D2} <= 0.01)")
 def vicinity_of_centres(spark, sf_dir):
-    return spatial.vicinity(points(spark, sf_dir), ["label"], ["vec_id"], F.col("vec_id") % 10 == 0, 0.1)
+    return spatial.vicinity(points(spark, sf_dir), ["label"], ["vec_id"], F.col("x") > 0.2, 0.1)
 
 
 @query(f"WITH {POINTS}, d AS (SELECT a.label, sqrt({D2}) AS d FROM p a JOIN p b ON a.label = b.label AND a.vec_id < b.vec_id WHERE {D2} <= 0.0225) SELECT label, 0.05 ::DOUBLE AS shell, count(*) FILTER (d >= 0.05 AND d < 0.1) AS pairs FROM d GROUP BY 1 UNION ALL SELECT label, 0.1 ::DOUBLE, count(*) FILTER (d >= 0.1 AND d < 0.15) FROM d GROUP BY 1")
@@ -358,14 +358,16 @@ def pruned_features(spark, sf_dir):
 
 @query()
 def cross_validated_models(spark, sf_dir):
-    """A small assay: customers of two nations, their balance from their orders, in folds by key."""
+    """Each nation's customers as an assay: their balance from their orders, in folds by key."""
     from descra.operators import crossval
 
     orders = read(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count("*").cast("double").alias("n_orders"), F.avg("o_totalprice").alias("mean_price"), F.max("o_totalprice").alias("top_price"))
-    own = read(spark, sf_dir, "customer").where("c_nationkey < 2").join(orders, F.col("c_custkey") == F.col("o_custkey"))
-    table = own.select(F.col("c_name").alias("name"), (F.col("c_custkey") % 3).cast("int").alias("fold"), F.col("c_custkey").alias("row_ord"), "n_orders", "mean_price", "top_price", F.col("c_acctbal").alias("target_balance"))
+    own = read(spark, sf_dir, "customer").join(orders, F.col("c_custkey") == F.col("o_custkey"))
+    nations = [r.n_nationkey for r in read(spark, sf_dir, "nation").select("n_nationkey").orderBy("n_nationkey").collect()]
+    targets = [F.when(F.col("c_nationkey") == n, F.col("c_acctbal")).alias(f"target_{n}") for n in nations]
+    table = own.select(F.col("c_name").alias("name"), (F.col("c_custkey") % 3).cast("int").alias("fold"), F.col("c_custkey").alias("row_ord"), "n_orders", "mean_price", "top_price", *targets)
     some = (crossval.Technique("elasticnet", prune=False, models=("elasticnet",), alphas=(0.1, 1.0), l1_ratios=(0.5,)), crossval.Technique("intercorr_svm", models=("linear",)))
-    return crossval.cross_validate(table, ["target_balance"], ["n_orders", "mean_price", "top_price"], some).select("target_col", "technique", "outer_fold", "eval_model", "n_test", "error")
+    return crossval.cross_validate(table, [f"target_{n}" for n in nations], ["n_orders", "mean_price", "top_price"], some).select("target_col", "technique", "outer_fold", "eval_model", "n_test", "error")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
