@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 from descra.llm import kit, words
 from descra.llm.tokens import as_strings, slices
 
-SLICE_BYTES, BLOCK, QUERIES = 1 << 20, 128, 512
+SLICE_BYTES, BLOCK, QUERIES, PREFIXES = 1 << 20, 128, 512, 1 << 20
 _U = np.uint64
 
 
@@ -139,38 +139,51 @@ def signatures(flat: np.ndarray, at: np.ndarray, bands: Bands) -> tuple[np.ndarr
     return np.concatenate([out_set, *extra_set]), np.concatenate([out, *extra])
 
 
-def scan(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """doc_id, n_shingles, set_id and signatures (null where the task has given them for that set before)."""
+def scan(docs: DataFrame, n: int) -> DataFrame:
+    """doc_id, n_shingles, set_id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bands, seen = Bands(percent), set()
         for batch in batches:
             for at, some in slices(as_strings(batch.column(1)), SLICE_BYTES):
+                flat, begin = shingles(some, n)
+                yield pa.record_batch([batch.column(0).slice(at, len(some)), pa.array(np.diff(begin).astype(np.int64)), pa.array(digests(flat, begin))], names=["doc_id", "n_shingles", "set_id"])
+
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return docs.transform(kit.arrow(run, "doc_id long, n_shingles long, set_id long"))
+
+
+def signature_rows(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """signature, set_id: those of each set, which a task gives once for copies that it meets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bands, seen = Bands(percent), set()
+        for batch in batches:
+            for _, some in slices(as_strings(batch.column(0)), SLICE_BYTES):
                 flat, begin = shingles(some, n)
                 ids = digests(flat, begin)
-                size = np.diff(begin)
-                who, sign = signatures(flat, begin, bands)
-                order = np.argsort(who, kind="stable")
-                ends = np.searchsorted(who[order], np.arange(len(some) + 1))
-                fresh = np.zeros(len(some), bool)
+                fresh = []
                 for i, x in enumerate(ids.tolist()):
-                    if size[i] and x not in seen:
+                    if x not in seen:
                         seen.add(x)
-                        fresh[i] = True
+                        fresh.append(i)
                 if len(seen) > 200_000:
                     seen.clear()
-                keep = np.repeat(fresh, np.diff(ends))
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.where(fresh, np.diff(ends), 0))]).astype(np.int32)), pa.array(sign[order][keep]))
-                yield pa.record_batch([batch.column(0).slice(at, len(some)), pa.array(size.astype(np.int64)), pa.array(ids), lists], names=["doc_id", "n_shingles", "set_id", "signatures"])
+                many = np.diff(begin)[fresh]
+                own = flat[np.repeat(begin[:-1][fresh] - (np.cumsum(many) - many), many) + np.arange(many.sum())]
+                who, sign = signatures(own, np.concatenate([[0], np.cumsum(many)]).astype(np.int64), bands)
+                yield pa.record_batch([pa.array(sign), pa.array(ids[fresh][who])], names=["signature", "set_id"])
 
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return docs.transform(kit.arrow(run, "doc_id long, n_shingles long, set_id long, signatures array<long>"))
+    return docs.select("text").transform(kit.arrow(run, "signature long, set_id long"))
 
 
 def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (signature, set_id), sorted: those of signatures with several sets, with the least set of each."""
+    """Rows (signature, set_id), sorted: bucket, set_id and the least set of each bucket with several sets.
+
+    Near-duplicates share most of their signatures, so most buckets have the same sets as others.  A bucket that lies
+    in one batch is named by a digest of its sets, and goes out once; one that spans batches is named by its signature.
+    """
     last, least, held = None, None, False  # the run that is open: its signature, first set, and whether that set's row is still to come
-    before = None
+    before, seen = None, set()
     for batch in batches:
         sign, sets = (batch.column(i).to_numpy() for i in (0, 1))
         if not len(sign):
@@ -187,19 +200,34 @@ def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held = False
         first = np.ones(len(sign), bool)
         first[1:] = sign[1:] != sign[:-1]
-        run = np.cumsum(first) - 1
+        run, start = np.cumsum(first) - 1, np.flatnonzero(first)
         head = sets[first]
         goes_on = last is not None and sign[0] == last
         if goes_on:
             head[0] = least
         many = np.bincount(run)
-        ok = many[run] > 1
+        ok = many > 1
         if goes_on and sets[0] != least:
-            ok |= run == 0
+            ok[0] = True
         last, least = sign[-1], head[-1]
         held = not ok[-1]
         if ok.any():
-            yield pa.record_batch([pa.array(sign[ok]), pa.array(sets[ok]), pa.array(head[run][ok])], names=["signature", "set_id", "least"])
+            with np.errstate(over="ignore"):
+                total = np.add.reduceat(words.mix(sets.view(_U)), start)
+                name = words.mix(total + words.mix(many.astype(_U))).view(np.int64)
+                whole = np.ones(len(many), bool)
+                whole[-1] = False
+                whole[0] &= not goes_on
+                name = np.where(whole, name, words.mix(sign[first].view(_U)).view(np.int64))
+            for k in np.flatnonzero(ok & whole):
+                if (x := int(name[k])) in seen:
+                    ok[k] = False
+                else:
+                    seen.add(x)
+            if len(seen) > 500_000:
+                seen.clear()
+            keep = ok[run]
+            yield pa.record_batch([pa.array(name[run][keep]), pa.array(sets[keep]), pa.array(head[run][keep])], names=["bucket", "set_id", "least"])
 
 
 def stream_groups(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[pa.RecordBatch]:
@@ -260,17 +288,19 @@ def link_block(flat: np.ndarray, at: np.ndarray, percent: int) -> np.ndarray:
     return root
 
 
-def shingle_sets(docs: DataFrame, n: int) -> DataFrame:
-    """set_id and its shingles (binary, ascending little-endian unsigned 64-bit)."""
+def shingle_sets(n: int) -> Callable:
+    """Rows (pivot, block, set_id, text): text as its shingles (binary, ascending little-endian unsigned 64-bit), where they are that set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, some in slices(as_strings(batch.column(0)), SLICE_BYTES):
+            for at, some in slices(as_strings(batch.column(3)), SLICE_BYTES):
                 flat, begin = shingles(some, n)
                 data = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(some), [None, pa.py_buffer(begin.astype(np.int64) * 8), pa.py_buffer(flat.astype("<u8"))])
-                yield pa.record_batch([pa.array(digests(flat, begin)), data.cast(pa.binary())], names=["set_id", "shingles"])
+                own = batch.slice(at, len(some))
+                made = pa.record_batch([*own.columns[:3], data.cast(pa.binary())], names=["pivot", "block", "set_id", "shingles"])
+                yield made.filter(pa.array(own.column(2).to_numpy() == digests(flat, begin)))
 
-    return docs.select("text").transform(kit.arrow(run, "set_id long, shingles binary"))
+    return run
 
 
 def block_links(percent: int) -> Callable:
@@ -343,33 +373,31 @@ def by_block(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(*keys).sortWithinPartitions(*keys)
 
 
-def link_sets(signs: DataFrame, docs: DataFrame, ids: DataFrame, *, n: int, percent: int, block: int, queries: int) -> DataFrame:
-    """Links (a, b) that span every component of the classes. signs: set_id, signatures; ids: set_id, doc_id of one document of each class."""
-    rows = signs.where("signatures is not null").select(F.explode("signatures").alias("signature"), "set_id")
-    met = kit.written(by_block_sorted(rows).transform(kit.arrow(buckets, "signature long, set_id long, least long")), "buckets")
+def link_sets(docs: DataFrame, ids: DataFrame, *, n: int, percent: int, block: int, queries: int) -> DataFrame:
+    """Links (a, b) that span every component of the classes. ids: set_id, doc_id of one document of each class."""
+    found = by_block_sorted(signature_rows(docs, n, percent)).transform(kit.arrow(buckets, "bucket long, set_id long, least long"))
+    met = kit.written(found.groupBy("bucket", "set_id").agg(F.min("least").alias("least")), "buckets")
     pivots = kit.written(met.groupBy("set_id").agg(F.min("least").alias("pivot")), "pivots")
-    # Shingles only of classes that meet another: one document of each is read again.
-    wanted = ids.join(pivots.select("set_id"), "set_id", "left_semi").select("doc_id")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id", "left_semi")
-    sets = shingle_sets(texts.select("text"), n)
     counts = pivots.groupBy("pivot").agg(F.ceil(F.count("*") / F.lit(block)).alias("blocks"))
     assigned = pivots.join(counts, "pivot").select("set_id", "pivot", F.pmod(F.xxhash64("set_id"), "blocks").alias("block"))
-    # A class may come with several documents of one doc_id: any one row will do.
-    members = kit.written(assigned.join(sets, "set_id").select("pivot", "block", "set_id", "shingles").dropDuplicates(["set_id"]), "members")
+    # Shingles only of classes that meet another: one document of each is read again.
+    wanted = kit.written(assigned.join(ids, "set_id").select("doc_id", "set_id", "pivot", "block"), "wanted")
+    texts = filtered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), wanted)
+    members = kit.written(texts.join(wanted.hint("merge"), "doc_id").select("pivot", "block", "set_id", "text").transform(kit.arrow(shingle_sets(n), "pivot long, block long, set_id long, shingles binary")), "members")
     inside = kit.written(by_block(members, "pivot", "block").transform(kit.arrow(block_links(percent), "pivot long, block long, set_id long, root long, tokens binary")), "blocks")
     first = inside.where("root <> set_id").select(F.col("set_id").alias("a"), F.col("root").alias("b"))
     known = kit.components(first).select(F.col("node").alias("set_id"), "component")
-    place = inside.where("set_id is not null").select("set_id", "pivot", "block").join(known, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
+    place = inside.where("set_id is not null").select("set_id", "pivot", "block").distinct().join(known, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
     place = kit.written(place, "places")
     # Buckets that hold several components still.
-    here = met.select("signature", "set_id").join(place, "set_id")
-    apart = here.groupBy("signature").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("signature")
-    mixed = kit.written(here.join(apart, "signature"), "mixed")
-    groups = mixed.groupBy("signature", "pivot", "block").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+    here = met.select("bucket", "set_id").join(place, "set_id")
+    apart = here.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
+    mixed = kit.written(here.join(apart, "bucket"), "mixed")
+    groups = mixed.groupBy("bucket", "pivot", "block").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
     # One direction is enough where both are alone in their blocks; the bound and the comparison are symmetric.
     asked = (
-        mixed.select("signature", F.col("set_id").alias("query"), F.col("component").alias("own"))
-        .join(groups, "signature")
+        mixed.select("bucket", F.col("set_id").alias("query"), F.col("component").alias("own"))
+        .join(groups, "bucket")
         .where("lo <> own or hi <> own")
         .where("own >= lo")
         .select("pivot", "block", "query")
@@ -390,16 +418,31 @@ def link_sets(signs: DataFrame, docs: DataFrame, ids: DataFrame, *, n: int, perc
     return kit.written(first.unionByName(second), "links")
 
 
+def filtered(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """docs without most of the rows whose doc_id is not wanted, before they are shuffled.
+
+    A semi join with residues of hashed ids, of which there are at most PREFIXES: that table is broadcast whatever the
+    input's size.  Beyond it fewer rows are left out; the join that follows is exact.
+    """
+    n = wanted.count()
+    size = min(PREFIXES, 1 << max(10, (8 * n).bit_length()))
+    prefix = lambda c: F.pmod(F.xxhash64(c), F.lit(size))
+    some = wanted.where("doc_id is not null").select(prefix("doc_id").alias("prefix")).distinct()
+    return docs.withColumn("prefix", prefix("doc_id")).join(F.broadcast(some), "prefix", "left_semi").drop("prefix")
+
+
 def by_block_sorted(rows: DataFrame) -> DataFrame:
     return rows.repartition("signature").sortWithinPartitions("signature", "set_id")
 
 
 def near_duplicates(docs: DataFrame, *, n: int = 3, percent: int = 90, block: int = BLOCK, queries: int = QUERIES) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id reachable by links) of each row of docs (doc_id, text)."""
-    seen = kit.written(scan(docs, n, percent), "sets")
-    ids = seen.where("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"))
-    ids = kit.written(ids, "classes")
-    links = link_sets(seen.select("set_id", "signatures"), docs, ids, n=n, percent=percent, block=block, queries=queries)
+    seen = kit.written(scan(docs, n), "sets")
+    ids = kit.written(seen.where("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("doc_id")), "classes")
+    with kit.recorded() as made:
+        links = link_sets(docs, ids.where("doc_id is not null"), n=n, percent=percent, block=block, queries=queries)
+    for path in made[:-1]:  # the links were written last
+        kit.drop(docs.sparkSession, path)
     # Rows that share a doc_id are one node: the classes they are in are linked.
     same = seen.where("n_shingles > 0 and doc_id is not null").select("doc_id", "set_id").distinct().groupBy("doc_id").agg(F.min("set_id").alias("a"), F.max("set_id").alias("b")).where("a < b")
     shared = seen.where("n_shingles > 0").select("doc_id", F.col("set_id").alias("b")).join(same.select("doc_id", "a"), "doc_id").select("a", "b").where("a <> b").distinct()

@@ -6,6 +6,7 @@ import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -16,13 +17,30 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_RECORDS: list[list[str]] = []
+
+
+@contextmanager
+def recorded() -> Iterator[list[str]]:
+    """The paths that ``scratch`` gives meanwhile, in order."""
+    made: list[str] = []
+    _RECORDS.append(made)
+    try:
+        yield made
+    finally:
+        _RECORDS.remove(made)
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the folder that the cluster shares (spark.checkpoint.dir); one of our own where that is unset."""
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
         top = f"file://{tempfile.mkdtemp(prefix='descra-')}"
         spark.conf.set("spark.checkpoint.dir", top)
-    return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    for made in _RECORDS:
+        made.append(path)
+    return path
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
