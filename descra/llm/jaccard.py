@@ -449,7 +449,9 @@ def near_duplicates(docs: DataFrame, *, n: int = 3, percent: int = 90, block: in
     found = kit.components(links.unionByName(shared)).select(F.col("node").alias("set_id"), "component")
     found = kit.written(found, "found")
     low = found.join(ids, "set_id").groupBy("component").agg(F.min("doc_id").alias("low"))
-    lows = ids.join(found, "set_id", "left").join(low, "component", "left").select("set_id", F.coalesce("low", "doc_id").alias("component_id"))
+    # Most classes have no link: they must not meet under a null component.
+    lower = found.join(low, "component").select("set_id", "low")
+    lows = ids.join(lower, "set_id", "left").select("set_id", F.coalesce("low", "doc_id").alias("component_id"))
     return (
         seen.select("doc_id", "n_shingles", "set_id")
         .join(lows, "set_id", "left")
