@@ -3,9 +3,9 @@
 ``write`` puts the ids of all documents, in ascending doc_id order, into one
 stream that is cut into sequences of equal length.  Each task owns a range of
 doc_id and writes one Arrow IPC file whose record batches hold
-``ids: fixed_size_list<uint16|uint32>[L]`` and ``mask: fixed_size_list<uint8>[L]``
-(0 marks padding, which only a file's last sequence has), beside an index file
-``doc_id, offset, n_tokens``.  A memory-mapped or fetched file gives any sequence,
+``ids: fixed_size_list<uint16|uint32>[L]`` and ``mask: fixed_size_list<bool>[L]``
+(a bit a token; false marks padding, which only a file's last sequence has),
+beside an index file ``doc_id, offset, n_tokens``.  A memory-mapped or fetched file gives any sequence,
 mask or document as a view: batch ``i // rows``, row ``i % rows``, no copy.
 
 Files are written under an attempt's own name and moved to their final one, so a
@@ -47,7 +47,7 @@ class SequenceWriter:
     def __init__(self, sink, dtype: np.dtype, length: int, rows: int):
         self.length, self.rows, self.dtype = length, rows, dtype
         kind = pa.from_numpy_dtype(dtype)
-        self.schema = pa.schema([("ids", pa.list_(kind, length)), ("mask", pa.list_(pa.uint8(), length))])
+        self.schema = pa.schema([("ids", pa.list_(kind, length)), ("mask", pa.list_(pa.bool_(), length))])
         self.out = pa.ipc.new_file(sink, self.schema)
         self.held, self.n_held, self.n_tokens, self.n_sequences = [], 0, 0, 0
 
@@ -64,8 +64,8 @@ class SequenceWriter:
             self.held, self.n_held = [flat], len(flat)
 
     def _batch(self, flat: np.ndarray, n: int) -> None:
-        mask = np.zeros(len(flat), np.uint8)
-        mask[:n] = 1
+        mask = np.zeros(len(flat), bool)
+        mask[:n] = True
         lists = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.length) for x in (flat, mask)]
         self.out.write_batch(pa.record_batch(lists, schema=self.schema))
         self.n_sequences += len(flat) // self.length
@@ -117,7 +117,7 @@ def write(docs: DataFrame, path: str, *, vocabulary: str | None = None, end_id:
     manifest_schema = pa.schema([("file", pa.string()), ("first", pa.int64()), ("n_documents", pa.int64()), ("n_tokens", pa.int64()), ("n_sequences", pa.int64())])
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     dealt = docs.repartitionByRange(kit.partitions(docs), F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    files = kit.written(dealt.mapInArrow(put, MANIFEST.rpartition(",")[0]), "manifest")
+    files = kit.written(dealt.transform(kit.arrow(put, MANIFEST.rpartition(",")[0])), "manifest")
     # One row a file: as many as there are tasks, whatever the number of documents.
     spark, rows_, start = docs.sparkSession, [], 0
     for r in sorted(files.collect(), key=lambda r: r.file):
@@ -139,11 +139,11 @@ def open_file(fs, name: str) -> pa.ipc.RecordBatchFileReader:
     return pa.ipc.open_file(fs.open_input_file(name))
 
 
-def sequence(reader, i: int, column: str = "ids", rows: int = ROWS) -> np.ndarray:
-    """Sequence i of an open file (or its mask), as a view."""
+def sequence(reader, i: int, column: str = "ids", rows: int = ROWS) -> pa.Array:
+    """Sequence i of an open file (or its mask), as a view on the file's bytes; ``to_numpy()`` of ids is one too."""
     lists = reader.get_batch(i // rows).column(column)
     n = lists.type.list_size
-    return lists.values.to_numpy()[(lists.offset + i % rows) * n : (lists.offset + i % rows + 1) * n]
+    return lists.values.slice((lists.offset + i % rows) * n, n)
 
 
 def documents(spark: SparkSession, path: str, manifest: DataFrame) -> DataFrame:
@@ -175,15 +175,15 @@ def documents(spark: SparkSession, path: str, manifest: DataFrame) -> DataFrame:
 
     files = manifest.select("file", "start")
     n = max(1, manifest.count())
-    return files.repartition(n, "file").mapInArrow(get, "doc_id long, start long, n_tokens long, ids binary")
+    return files.repartition(n, "file").transform(kit.arrow(get, "doc_id long, start long, n_tokens long, ids binary"))
 
 
 def token_stream(reader) -> Iterator[np.ndarray]:
     """The ids under the mask, batch by batch."""
     for b in range(reader.num_record_batches):
         batch = reader.get_batch(b)
-        ids, mask = (batch.column(c).flatten().to_numpy() for c in ("ids", "mask"))
-        yield ids if mask.all() else ids[mask == 1]
+        ids, mask = batch.column("ids").flatten().to_numpy(), batch.column("mask").flatten()
+        yield ids if mask.true_count == len(mask) else ids[mask.to_numpy(zero_copy_only=False)]
 
 
 def runs(many: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
