@@ -18,7 +18,7 @@ Texts are scored in one pass without a shuffle; the model is a few kilobytes.
 
 Defined results: null and empty texts have zero features and the score of those;
 a null doc_id is not held out and never learned from; labels other than 0 and 1
-are not learned from; rows with the same doc_id are scored each; without labels
+are not learned from, of several for one doc_id the largest is; rows with the same doc_id are scored each; without labels
 of both kinds every score is the share of toxic ones (0 without any); an empty
 table gives no rows; further columns are ignored.
 """
@@ -273,7 +273,7 @@ class Scorer:
 
 def learn(docs: DataFrame, labels: DataFrame, *, folds: int = FOLDS, sample: int = SAMPLE) -> Scorer:
     """The lexicon and the model, from about ``sample`` labelled rows outside the held-out fold."""
-    known = labels.where("doc_id is not null and toxic in (0, 1)").where(~held_out("doc_id", folds)).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("long").alias("toxic")).dropDuplicates(["doc_id"])
+    known = labels.where("doc_id is not null and toxic in (0, 1)").where(~held_out("doc_id", folds)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("long")).alias("toxic"))
     n = known.count()
     drawn = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(n)) < sample) if n > sample else known
     # drawn has about ``sample`` rows of two numbers, whatever the number of labels.
