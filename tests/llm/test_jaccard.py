@@ -2,6 +2,8 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from descra.llm import jaccard, kit
@@ -93,3 +95,36 @@ def test_components(spark):
         root[max(x, y)] = min(x, y)
     got = dict(map(tuple, kit.components(spark.createDataFrame(edges, "a long, b long")).collect()))
     assert got == {x: find(x) for a, b in edges if a != b for x in (a, b)}
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 7, 1000])
+def test_buckets_over_batches(size):
+    r = random.Random(size)
+    rows = sorted({(r.randrange(12), r.randrange(9)) for _ in range(60)} | {(20, x) for x in range(40)} | {(21, 5)})
+    rows += [rows[-1]]  # a copy from another task
+    batches = [pa.record_batch([pa.array([a for a, _ in rows[i : i + size]], pa.int64()), pa.array([b for _, b in rows[i : i + size]], pa.int64())], names=["signature", "set_id"]) for i in range(0, len(rows), size)]
+    got = {}
+    for b in jaccard.buckets(iter(batches)):
+        for name, s, least in zip(*(c.to_pylist() for c in b.columns)):
+            got.setdefault(name, (set(), set()))
+            got[name][0].add(s)
+            got[name][1].add(least)
+    want = {}
+    for a, b in rows:
+        want.setdefault(a, set()).add(b)
+    assert {frozenset(s) for s, _ in got.values()} == {frozenset(s) for s in want.values() if len(s) > 1}
+    assert all(least == {min(s)} for s, least in got.values())
+
+
+@pytest.mark.parametrize("percent", [60, 80, 90, 95])
+def test_linked_sets_share_a_signature(percent):
+    r, bands = np.random.default_rng(percent), jaccard.Bands(percent)
+    for _ in range(300):
+        a = np.unique(r.integers(0, 1 << 63, int(r.integers(1, 400))).astype(np.uint64))
+        gone = r.integers(0, max(1, len(a) * (100 - percent) // 100) + 1)
+        b = np.unique(np.concatenate([r.permutation(a)[gone:], r.integers(0, 1 << 63, int(r.integers(0, gone + 1))).astype(np.uint64)]))
+        share = len(np.intersect1d(a, b))
+        if not len(b) or 100 * share < percent * (len(a) + len(b) - share):
+            continue
+        who, sign = jaccard.signatures(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]), bands)
+        assert (a.tolist() == b.tolist()) or set(sign[who == 0].tolist()) & set(sign[who == 1].tolist())
