@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -74,7 +75,9 @@ def arrow(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], s
 
     def apply(df: DataFrame) -> DataFrame:
         conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
-        if int(conf.get(name).rstrip("b")) > ARROW_BYTES:
+        number, unit = re.fullmatch(r"(-?\d+)([kmgtp]?)b?", conf.get(name).strip().lower()).groups()
+        most = int(number) << 10 * " kmgtp".index(unit or " ")
+        if not 0 < most <= ARROW_BYTES:
             conf.set(name, ARROW_BYTES)
         return df.mapInArrow(released, schema)
 
