@@ -7,9 +7,9 @@ further.  The join is exact on 64-bit shingle hashes:
 
 1. Signatures.  Linked sets of at most u shingles differ in at most
    D = 2u(100-p)/(100+p) of them.  Hash ranges cut the shingles into k > D parts,
-   so linked sets agree in one whole part at least.  A part's hash is a column of
-   the matrix; sizes are banded, and a set also enters the next band where a
-   partner could be.  A frequent passage alone fills no part of a longer text,
+   so linked sets agree in one whole part at least (or in two, where D is small).
+   A part's hash is a column of the matrix; sizes are banded, and a set also enters
+   the next band where a partner could be.  A frequent passage alone fills no part of a longer text,
    so it gathers no bucket.
 2. Groups.  Classes whose buckets meet get a pivot (the least class met) and so
    form groups of similar documents; groups are split into blocks of about
@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 from descra.llm import kit, words
 from descra.llm.tokens import as_strings, slices
 
-SLICE_BYTES, BLOCK, QUERIES, PREFIXES = 1 << 20, 128, 512, 1 << 20
+SLICE_BYTES, BLOCK, QUERIES, PREFIXES, PAIRED = 1 << 20, 128, 512, 1 << 20, 8
 _U = np.uint64
 
 
@@ -94,10 +94,16 @@ class Bands:
         while edges[-1] < most:
             edges.append(edges[-1] * 3 // 2 + 1)
         self.edges = np.array(edges)
-        top = self.edges[1:] - 1
-        self.differ = 2 * top * rest // both
-        self.spare = self.differ // 40
-        self.parts = self.differ + 1 + self.spare
+        self.top = self.edges[1:] - 1
+        self.differ = 2 * self.top * rest // both
+        # Few differences: all pairs of differ + 2 parts, of which linked sets agree in one pair at least.
+        self.paired = self.differ <= PAIRED
+        self.parts = np.where(self.paired, self.differ + 2, self.differ + 3 + self.differ // 40)
+
+    def most_differ(self, size: np.ndarray, band: np.ndarray) -> np.ndarray:
+        """In how many shingles a set of this size may differ from one of the band that it links with."""
+        partner = np.minimum(self.top[band], size * 100 // self.percent)
+        return (size + partner) * (100 - self.percent) // (100 + self.percent)
 
     def of(self, size: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.edges, size, "right") - 1
@@ -119,24 +125,40 @@ def signatures(flat: np.ndarray, at: np.ndarray, bands: Bands) -> tuple[np.ndarr
     sets, band = np.concatenate([sets, low]), np.concatenate([band, np.zeros(len(low), np.int64)])
     if not len(sets):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    many = size[sets]
+    out = [part_signatures(flat, at, sets[some], band[some], bands, paired) for paired in (False, True) for some in [bands.paired[band] == paired] if some.any()]
+    return np.concatenate([x for x, _ in out]), np.concatenate([x for _, x in out])
+
+
+def part_signatures(flat: np.ndarray, at: np.ndarray, sets: np.ndarray, band: np.ndarray, bands: Bands, paired: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures of sets in bands, either all paired or none."""
+    many, parts = np.diff(at)[sets], bands.parts[band]
     entry = np.repeat(np.arange(len(sets)), many)
     value = flat[np.repeat(at[:-1][sets] - (np.cumsum(many) - many), many) + np.arange(many.sum())]
     with np.errstate(over="ignore"):
-        part = ((value >> _U(32)) * bands.parts[band][entry].astype(_U) >> _U(32)).astype(np.int64)
+        part = ((value >> _U(32)) * parts[entry].astype(_U) >> _U(32)).astype(np.int64)
         first = np.flatnonzero(np.concatenate([[True], (entry[1:] != entry[:-1]) | (part[1:] != part[:-1])]))
         total = np.concatenate([[_U(0)], np.cumsum(value, dtype=_U)])
         total = total[np.append(first[1:], len(value))] - total[first]
         entry, part = entry[first], part[first]
+        if paired:
+            table = words.mix(band[:, None].astype(_U) << _U(32) | np.arange(PAIRED + 2, dtype=_U)[None])
+            table[entry, part] = words.mix(table[entry, part] + total + _U(1))
+            out_set, out = [], []
+            for i in range(PAIRED + 2):
+                for j in range(i + 1, PAIRED + 2):
+                    some = np.flatnonzero(parts > j)
+                    out_set.append(sets[some])
+                    out.append(words.mix(table[some, i] * _U(3) + words.mix(table[some, j])))
+            return np.concatenate(out_set), np.concatenate(out).view(np.int64)
         sign = words.mix(total + words.mix((band[entry] << 32 | part).astype(_U)))
-        out_set, out = sets[entry], sign.view(np.int64)
-        empty = bands.parts[band] - np.bincount(entry, minlength=len(sets))
-        extra_set, extra = [], []
-        for e in np.flatnonzero(empty > bands.spare[band]):
-            gone = np.setdiff1d(np.arange(bands.parts[band[e]]), part[np.searchsorted(entry, e) : np.searchsorted(entry, e + 1)])
-            extra_set.append(np.full(len(gone), sets[e]))
-            extra.append(words.mix(words.mix((band[e] << 32 | gone).astype(_U))).view(np.int64))
-    return np.concatenate([out_set, *extra_set]), np.concatenate([out, *extra])
+        out_set, out = [sets[entry]], [sign]
+        # Linked sets agree in parts - most_differ parts; only a set with so many empty ones may agree in those alone.
+        empty = parts - np.bincount(entry, minlength=len(sets))
+        for e in np.flatnonzero(empty >= parts - bands.most_differ(many, band)):
+            gone = np.setdiff1d(np.arange(parts[e]), part[np.searchsorted(entry, e) : np.searchsorted(entry, e + 1)])
+            out_set.append(np.full(len(gone), sets[e]))
+            out.append(words.mix(words.mix((band[e] << 32 | gone).astype(_U))))
+    return np.concatenate(out_set), np.concatenate(out).view(np.int64)
 
 
 def scan(docs: DataFrame, n: int) -> DataFrame:
