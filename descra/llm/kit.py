@@ -44,10 +44,25 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
+#: Has Spark remove an execution's shuffle files at its end; a written table needs them no more.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def write(df: DataFrame, path: str) -> None:
+    """df as Parquet, after which its shuffle files are gone: a chain of such steps needs the disk of its largest one."""
+    conf = df.sparkSession.conf
+    before = conf.get(CLEANUP, "false")
+    conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(CLEANUP, before)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a written table: lineage ends here, and a lost executor costs no recomputation."""
     path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
+    write(df, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -100,7 +115,7 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     spark = edges.sparkSession
     both = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     path, before = scratch(spark, name), None
-    both.write.parquet(path)  # each step reads its edges three times
+    write(both, path)  # each step reads its edges three times
     now = spark.read.schema(both.schema).parquet(path)
     while True:
         two_way = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -111,7 +126,7 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
         new = scratch(spark, name)
-        small.write.parquet(new)
+        write(small, new)
         now = spark.read.schema(small.schema).parquet(new)
         # Done when every node has one parent and no parent has one itself, and nothing moved.
         state = now.agg(F.count("*"), F.countDistinct("u"), F.sum(F.xxhash64("u", "v") % (1 << 40))).first()
