@@ -10,9 +10,9 @@ pre-aggregated groupings and a host with a third of all pages is no hot spot.
 Classes that are frequent (in at least ``support`` of a host's pages) are valid
 where their tokens nest: an element's path holds every class that encloses it.
 Together they are the host's template.  What a page has between the template's
-tokens are slots.  Slots below furniture (menus, headers, footers, sidebars,
-notices, adverts, forms, comments, scripts) are dropped, text blocks that are
-part of the template are furniture too unless they stand in an article, and
+tokens are slots: a text block of the template is none, inside an article as
+outside.  In addition, slots below furniture (menus, headers, footers, sidebars,
+notices, adverts, forms, comments, scripts) are dropped by tag and name, and
 where template or page has an article, or else a main element, only slots inside
 it count.  Hosts with fewer than ``few`` pages are deduced together.
 
@@ -20,7 +20,8 @@ Text: character references decoded, white space in a block one space, trimmed,
 blocks in page order joined by a line feed.
 
 Defined results: null or empty html gives an empty text; a page without any
-article keeps every slot outside furniture; a null url has the empty host;
+article keeps every slot outside furniture; a page whose blocks are all of the
+template is a copy of others and keeps them; a null url has the empty host;
 repeated rows are pages of their own; an empty table gives no rows; further
 columns are ignored.
 """
@@ -248,7 +249,10 @@ def main_text(html: str, template: Template) -> str:
     own = [s for s in slots if s[0] and template.holds(s[1])]
     among = own or slots
     best = max((s[0] for s in among), default=0)
-    return "\n".join(text for main, _, token, text in among if main >= best and (main or not template.texts or token_hash(token) not in template.texts))
+    inside = [s for s in among if s[0] >= best]
+    own = [s for s in inside if token_hash(s[2]) not in template.texts] if template.texts else inside
+    # Blocks that are all of the template are a copied page: copies are no evidence of furniture.
+    return "\n".join(s[3] for s in own or inside)
 
 
 def host_of(url: str = "url"):

@@ -43,3 +43,11 @@ def test_classes_share_occurrence_vectors(spark):
     for x in {t for p in html for t in ht.page_tokens(p)}:
         vector.setdefault(tuple(ht.page_tokens(p)[x] for p in html), set()).add(ht.token_hash(x))
     assert sorted(map(sorted, got.values())) == sorted(sorted(v) for k, v in vector.items() if sum(n > 0 for n in k) >= 2)
+
+
+def test_classes_decide_inside_the_article(spark):
+    page = lambda i: f'<article><h1>Head {i}</h1><div class="zq"><p>Read us daily</p></div><p>text {i}</p><p>Written by staff</p></article>'
+    df = spark.createDataFrame([(i, f"http://h.example/{i}", page(i)) for i in range(12)], "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in ht.extract(df).collect()} == {i: f"Head {i}\ntext {i}" for i in range(12)}
+    # An empty template keeps what the host's template takes.
+    assert ht.main_text(page(1), EMPTY) == "Head 1\nRead us daily\ntext 1\nWritten by staff"
