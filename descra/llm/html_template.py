@@ -12,7 +12,9 @@ where their tokens nest: an element's path holds every class that encloses it.
 Together they are the host's template.  What a page has between the template's
 tokens are slots: a text block of the template is none, inside an article as
 outside.  In addition, slots below furniture (menus, headers, footers, sidebars,
-notices, adverts, forms, comments, scripts) are dropped by tag and name, and
+notices, adverts, forms, comments, scripts) are dropped by tag and name (inside
+an article, and by id anywhere, a name counts where the host's pages repeat the
+element, or alone where the host has one page; headings have no names), and
 where template or page has an article, or else a main element, only slots inside
 it count.  Hosts with fewer than ``few`` pages are deduced together.
 
@@ -42,8 +44,10 @@ from descra.llm import kit
 SUPPORT, FEW, CONSTANT_PAGES, BROADCAST_BYTES = 0.5, 3, 8, 32 << 20
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>?|<\?[^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>?", re.S)
 ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
-RAW = frozenset(("script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math", "object", "canvas"))
-VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
+RAW = frozenset(("script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "canvas", "annotation", "annotation-xml"))
+#: Drawings, and a formula's notes for programs: no text; one that is never closed ends with its start tag.
+DRAWN = frozenset(("svg", "canvas", "annotation", "annotation-xml"))
+VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary "
@@ -51,27 +55,50 @@ BLOCK = frozenset(
 )
 #: A start tag of the key ends these where they are open.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "body": {"head"}}
-FURNITURE = frozenset("nav header footer aside form script style noscript template head title button select menu iframe svg math textarea dialog object canvas".split())
+FURNITURE = frozenset("nav header footer aside form script style noscript template head title button select menu iframe svg textarea dialog canvas".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 NAMES = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner\w*|cookie\w*|consent\w*|gdpr|notices?|alert|popup|modal|newsletter\w*|subscri\w*|"
     r"side-?bar\w*|menus?|nav\w*|breadcrumb\w*|footer\w*|masthead|site-?header|page-?header|header|comments?\w*|repl(?:y|ies)|disqus\w*|share\w*|social\w*|related\w*|"
     r"widgets?|login|signup|search\w*|pagination|toolbar|contentinfo|navigation|complementary|dialog|form)(?:$|[\s_-])",
     re.I,
 )
+#: Ids that name furniture inside an article, where ids are mostly made from the words of a heading.
+IDS = frozenset("ad ads advert breadcrumbs comment comments cookies disqus_thread login modal newsletter pagination popup replies reply share sharing sidebar signup toolbar widgets".split())
+#: Headers of texts outside an article, and inside one.
+OWN_HEADERS = (re.compile(r"(?<![^\s_-])(?:article|entry|post|section|story|content)[_-]+header(?![^\s_-])", re.I), re.compile(r"(?<![^\s_-])header(?![^\s_-])", re.I))
+NOT_NAMED, IF_REPEATED, NAMED = range(3)
+
+
+def named(tag: str, attributes: list[tuple[str, str]], inside: bool) -> int:
+    """Whether an element's class, id or role name furniture: for certain, or if the host's pages repeat it."""
+    found = NOT_NAMED
+    if tag in HEADINGS or tag in ("html", "body"):
+        return found
+    for kind, value in attributes:
+        if kind == "id":
+            if value.lower() in IDS if inside else NAMES.search(value):
+                found = max(found, IF_REPEATED)
+        elif NAMES.search(OWN_HEADERS[inside].sub("", value)):
+            found = max(found, IF_REPEATED if inside else NAMED)
+    return found
 
 
 class Node:
-    """An open element: its tag with class, id and role, its path, and whether it is furniture."""
+    """An open element: its tag with class, id and role, its path, whether it is furniture, and which paths here are if the host repeats them."""
 
-    __slots__ = ("tag", "path", "furniture", "main", "main_path")
+    __slots__ = ("tag", "path", "furniture", "if_repeated", "main", "main_path")
 
-    def __init__(self, tag: str, names: str, above: "Node | None"):
+    def __init__(self, tag: str, attributes: list[tuple[str, str]], above: "Node | None"):
         self.tag = tag
+        names = " ".join(f"{kind}={value}" for kind, value in attributes)
         self.path = (above.path if above else "") + "/" + tag + (f"[{names}]" if names else "")
         article = tag in ("article", "main") or "role=main" in names
         # The page's headline may stand in a header of the article itself.
         own_header = tag == "header" and above is not None and above.main
-        self.furniture = bool(above and above.furniture) or (tag in FURNITURE and not own_header) or bool(names and not article and tag not in ("html", "body") and NAMES.search(names.replace("=", " ")))
+        by_name = named(tag, attributes, bool(above and above.main)) if attributes and not article else NOT_NAMED
+        self.furniture = bool(above and above.furniture) or (tag in FURNITURE and not own_header) or by_name == NAMED
+        self.if_repeated: tuple[str, ...] = (above.if_repeated if above else ()) + ((self.path,) if by_name == IF_REPEATED else ())
         self.main = (above.main if above else 0) or (2 if tag == "article" else 1 if article else 0)
         self.main_path = above.main_path if above and above.main else self.path if self.main else ""
 
@@ -109,18 +136,18 @@ def walk(html: str) -> Iterator[tuple[str, Node | None, str]]:
                     break
                 if stack[i].tag in ("table", "ul", "ol", "dl", "div", "article", "section", "main", "body", "select"):
                     break
-        names = " ".join(f"{a[0].lower()}={(a[1] or a[2] or a[3]).strip()}" for a in ATTRIBUTE.findall(m[3])) if m[3] else ""
-        node = Node(tag, names, stack[-1] if stack else None)
+        attributes = [(a[0].lower(), (a[1] or a[2] or a[3]).strip()) for a in ATTRIBUTE.findall(m[3])] if m[3] else []
+        node = Node(tag, attributes, stack[-1] if stack else None)
         if tag in BLOCK:
             yield "block", node, ""
         yield "<", node, ""
         if tag == "br":
             yield "text", node, " "
-        if tag in VOID or m[3].endswith("/") and tag not in RAW:
+        if tag in VOID or m[3].endswith("/") and (tag not in RAW or tag in DRAWN):
             yield ">", node, ""
         elif tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\s*>?", re.I).search(html, at)
-            at = end.end() if end else n
+            at = end.end() if end else at if tag in DRAWN else n
             yield ">", node, ""
         else:
             stack.append(node)
@@ -141,7 +168,7 @@ def blocks(html: str) -> Iterator[tuple[str, Node | None, str]]:
         if kind == "text":
             if parts and (of is None) != (node is None):
                 pass
-            elif parts and of is not None and (of.furniture, of.main) != (node.furniture, node.main) and "".join(parts).strip():
+            elif parts and of is not None and (of.furniture, of.if_repeated, of.main) != (node.furniture, node.if_repeated, node.main) and "".join(parts).strip():
                 if whole := clean(parts):
                     yield "text", of, whole
                 parts = []
@@ -207,16 +234,15 @@ def classes(pages: DataFrame, *, support: float = SUPPORT) -> DataFrame:
 
 
 def templates(tokens: DataFrame) -> DataFrame:
-    """host, pages, tags (token and class of template tags), texts (blocks that every page has, as it has the skeleton).
+    """host, pages, tags (token and class of frequent tags), texts (blocks that every page has, as it has the skeleton).
 
     A host's frequent tokens are at most a page's tokens divided by the support, however many pages there are.
     """
     size = tokens.groupBy("host", "class").agg(F.count("*").alias("size"))
-    large = tokens.join(size, ["host", "class"]).where("size >= 3")
-    return large.groupBy("host").agg(
+    return tokens.join(size, ["host", "class"]).groupBy("host").agg(
         F.max("pages").alias("pages"),
         F.sort_array(F.collect_list(F.expr("CASE WHEN NOT is_text THEN struct(token, class) END"))).alias("tags"),
-        F.sort_array(F.collect_list(F.expr("CASE WHEN is_text AND everywhere THEN token END"))).alias("texts"),
+        F.sort_array(F.collect_list(F.expr("CASE WHEN is_text AND everywhere AND size >= 3 THEN token END"))).alias("texts"),
     )
 
 
@@ -227,6 +253,11 @@ class Template:
         self.classes = {t["token"]: t["class"] for t in tags or ()}
         self.texts = set(texts or ()) if pages >= CONSTANT_PAGES else set()
         self.known: dict[str, bool] = {"": True}
+        self.pages = pages
+
+    def repeats(self, path: str) -> bool:
+        """Whether the host's pages repeat the element; where there are no other pages, nothing speaks against it."""
+        return not self.pages or token_hash("<" + path) in self.classes
 
     def holds(self, path: str) -> bool:
         if path not in self.known:
@@ -244,7 +275,7 @@ PARENT = re.compile(r"/[^/\[]*(?:\[(?:(?!\]/).)*\])?$", re.S)
 
 def main_text(html: str, template: Template) -> str:
     """The page's slots that count, in order."""
-    slots = [(node.main if node else 0, node.main_path if node else "", f"text{block_path(node)} {text}", text) for kind, node, text in blocks(html) if kind == "text" and not (node and node.furniture)]
+    slots = [(node.main if node else 0, node.main_path if node else "", f"text{block_path(node)} {text}", text) for kind, node, text in blocks(html) if kind == "text" and not (node and (node.furniture or any(map(template.repeats, node.if_repeated))))]
     # The template's own article decides; a page that departs from it is judged alone.
     own = [s for s in slots if s[0] and template.holds(s[1])]
     among = own or slots
@@ -280,7 +311,8 @@ def extract(pages: DataFrame, *, support: float = SUPPORT, few: int = FEW, broad
                     if host not in known:
                         if len(known) > 1000:
                             known.clear()
-                        known[host] = Template(part.column(5)[i].as_py(), part.column(6)[i].as_py(), part.column(4)[i].as_py() or 0)
+                        # The pool of small hosts does not say what one of them repeats.
+                        known[host] = Template(part.column(5)[i].as_py(), part.column(6)[i].as_py(), (part.column(4)[i].as_py() or 0) if host != "*" else 0)
                     out.append(main_text(markup or "", known[host]))
                 yield pa.record_batch([part.column(0), part.column(1), pa.array(out, pa.string()), pa.array([len(x) for x in out], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 

@@ -51,3 +51,17 @@ def test_classes_decide_inside_the_article(spark):
     assert {r.page_id: r.text for r in ht.extract(df).collect()} == {i: f"Head {i}\ntext {i}" for i in range(12)}
     # An empty template keeps what the host's template takes.
     assert ht.main_text(page(1), EMPTY) == "Head 1\nRead us daily\ntext 1\nWritten by staff"
+
+
+def test_names_inside_an_article_need_the_template(spark):
+    kept = (
+        '<div class="article-header"><h1>Head</h1></div><h2 id="related-work">Related</h2><section id="search-methods"><p>search</p></section>'
+        '<section id="social-history">social</section><div id="form-and-function">form</div><div class="section-header">part</div>'
+        '<p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> be<p><object data="f"><param name="a">shown</object><svg/><p>a<canvas><p>b<svg><p>end</article>'
+    )
+    want = "Head\nRelated\nsearch\nsocial\nform\npart\nLet x=2 be\nshown\na\nb\nend"
+    assert ht.main_text("<article>" + kept, EMPTY) == want
+    assert ht.main_text('<h2 id="related-work">a</h2><div class="entry-header">b</div><div class="site-header">c</div>', EMPTY) == "a\nb"
+    page = lambda i: f'<article><p>text {i}</p><div class="share-box">share {i}</div>' + (f'<div class="search-history">own {i}</div>' if i == 3 else "") + "</article>"
+    df = spark.createDataFrame([(i, f"http://h.example/{i}", page(i)) for i in range(6)], "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in ht.extract(df).collect()} == {i: f"text {i}" + ("\nown 3" if i == 3 else "") for i in range(6)}
