@@ -1,7 +1,10 @@
 """Operator 9: main text of web pages by equivalence-class template deduction.
 
 Tokens of a page are its tags and its text blocks, each told apart by the path
-of elements it stands in.  A token's occurrence vector is how often it occurs in
+of elements it stands in.  A path names an element by tag, class and role: ids,
+words with digits and all names of the page's and article's own elements vary
+from page to page and stay out of it; an id is part of tokens of its element
+alone.  A token's occurrence vector is how often it occurs in
 each page of a host; tokens that share one form an equivalence class.  The
 vector is never gathered: an exclusive-or of hashes of (page, count), with the
 number of pages and of occurrences, identifies it, so classes come from two
@@ -68,6 +71,9 @@ IDS = frozenset("ad ads advert breadcrumbs comment comments cookies disqus_threa
 #: Headers of texts outside an article, and inside one.
 OWN_HEADERS = (re.compile(r"(?<![^\s_-])(?:article|entry|post|section|story|content)[_-]+header(?![^\s_-])", re.I), re.compile(r"(?<![^\s_-])header(?![^\s_-])", re.I))
 NOT_NAMED, IF_REPEATED, NAMED = range(3)
+#: Elements whose class says what a page is about.
+VARYING = frozenset(("html", "body", "main", "article"))
+DIGIT = re.compile(r"\d")
 
 
 def named(tag: str, attributes: list[tuple[str, str]], inside: bool) -> int:
@@ -87,18 +93,21 @@ def named(tag: str, attributes: list[tuple[str, str]], inside: bool) -> int:
 class Node:
     """An open element: its tag with class, id and role, its path, whether it is furniture, and which paths here are if the host repeats them."""
 
-    __slots__ = ("tag", "path", "furniture", "if_repeated", "main", "main_path")
+    __slots__ = ("tag", "path", "own", "furniture", "if_repeated", "main", "main_path")
 
     def __init__(self, tag: str, attributes: list[tuple[str, str]], above: "Node | None"):
         self.tag = tag
         names = " ".join(f"{kind}={value}" for kind, value in attributes)
-        self.path = (above.path if above else "") + "/" + tag + (f"[{names}]" if names else "")
+        lasting = "" if tag in VARYING else " ".join(f"{kind}={' '.join(words)}" for kind, value in attributes if kind != "id" and (words := [w for w in value.split() if not DIGIT.search(w)]))
+        self.path = (above.path if above else "") + "/" + tag + (f"[{lasting}]" if lasting else "")
+        #: The path with the element's own id, which only its own tokens have.
+        self.own = next((f"{self.path}#{value}" for kind, value in attributes if kind == "id"), "")
         article = tag in ("article", "main") or "role=main" in names
         # The page's headline may stand in a header of the article itself.
         own_header = tag == "header" and above is not None and above.main
         by_name = named(tag, attributes, bool(above and above.main)) if attributes and not article else NOT_NAMED
         self.furniture = bool(above and above.furniture) or (tag in FURNITURE and not own_header) or by_name == NAMED
-        self.if_repeated: tuple[str, ...] = (above.if_repeated if above else ()) + ((self.path,) if by_name == IF_REPEATED else ())
+        self.if_repeated: tuple[str, ...] = (above.if_repeated if above else ()) + ((self.own or self.path,) if by_name == IF_REPEATED else ())
         self.main = (above.main if above else 0) or (2 if tag == "article" else 1 if article else 0)
         self.main_path = above.main_path if above and above.main else self.path if self.main else ""
 
@@ -195,6 +204,8 @@ def page_tokens(html: str) -> Counter[str]:
     found: Counter[str] = Counter()
     for kind, node, text in blocks(html):
         found[f"{kind}{block_path(node)}" + (f" {text}" if kind == "text" else "")] += 1
+        if kind != "text" and node.own:
+            found[kind + node.own] += 1
     return found
 
 
@@ -276,11 +287,10 @@ PARENT = re.compile(r"/[^/\[]*(?:\[(?:(?!\]/).)*\])?$", re.S)
 def main_text(html: str, template: Template) -> str:
     """The page's slots that count, in order."""
     slots = [(node.main if node else 0, node.main_path if node else "", f"text{block_path(node)} {text}", text) for kind, node, text in blocks(html) if kind == "text" and not (node and (node.furniture or any(map(template.repeats, node.if_repeated))))]
-    # The template's own article decides; a page that departs from it is judged alone.
-    own = [s for s in slots if s[0] and template.holds(s[1])]
-    among = own or slots
-    best = max((s[0] for s in among), default=0)
-    inside = [s for s in among if s[0] >= best]
+    # The template's own article or main element says which of the two counts; a page that departs from it is judged alone.
+    held = [s[0] for s in slots if s[0] and template.holds(s[1])]
+    best = max(held or [s[0] for s in slots], default=0)
+    inside = [s for s in slots if s[0] >= best]
     own = [s for s in inside if token_hash(s[2]) not in template.texts] if template.texts else inside
     # Blocks that are all of the template are a copied page: copies are no evidence of furniture.
     return "\n".join(s[3] for s in own or inside)

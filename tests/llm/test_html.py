@@ -65,3 +65,13 @@ def test_names_inside_an_article_need_the_template(spark):
     page = lambda i: f'<article><p>text {i}</p><div class="share-box">share {i}</div>' + (f'<div class="search-history">own {i}</div>' if i == 3 else "") + "</article>"
     df = spark.createDataFrame([(i, f"http://h.example/{i}", page(i)) for i in range(6)], "page_id long, url string, html string")
     assert {r.page_id: r.text for r in ht.extract(df).collect()} == {i: f"text {i}" + ("\nown 3" if i == 3 else "") for i in range(6)}
+
+
+def test_an_article_of_its_own_id_is_kept(spark):
+    page = lambda i: f'<html><body class="postid-{i}"><article class="teaser"><p>teaser</p></article><article id="post-{i}" class="post-{i} about-{"abc"[i % 3]}"><div class="zq">Read us</div><p>text {i}</p></article></body></html>'
+    df = spark.createDataFrame([(i, f"http://h.example/{i}", page(i)) for i in range(12)], "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in ht.extract(df).collect()} == {i: f"text {i}" for i in range(12)}
+    # An article that only one page has stands beside the one that the template holds.
+    other = lambda i: f'<main><p>main {i}</p></main>' + ("<article><p>real</p></article>" if i == 3 else "")
+    df = spark.createDataFrame([(i, f"http://h.example/{i}", other(i)) for i in range(12)], "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in ht.extract(df).collect()} == {i: f"main {i}" + ("\nreal" if i == 3 else "") for i in range(12)}
