@@ -10,8 +10,8 @@ vector is never gathered: an exclusive-or of hashes of (page, count), with the
 number of pages and of occurrences, identifies it, so classes come from two
 pre-aggregated groupings and a host with a third of all pages is no hot spot.
 
-Classes that are frequent (in at least ``support`` of a host's pages) are valid
-where their tokens nest: an element's path holds every class that encloses it.
+Classes that are frequent (in at least ``support`` of a host's pages that have
+tokens, and in two) are valid where their tokens nest: an element's path holds every class that encloses it.
 Together they are the host's template.  What a page has between the template's
 tokens are slots: a text block of the template is none, inside an article as
 outside.  In addition, slots below furniture (menus, headers, footers, sidebars,
@@ -19,7 +19,9 @@ notices, adverts, forms, comments, scripts) are dropped by tag and name (inside
 an article, and by id anywhere, a name counts where the host's pages repeat the
 element, or alone where the host has one page; headings have no names), and
 where template or page has an article, or else a main element, only slots inside
-it count.  Hosts with fewer than ``few`` pages are deduced together.
+it count.  A block is of the template if its class is frequent and has three
+tokens at least, at every size of host.  Hosts with fewer than ``few`` pages are
+deduced together too, for those that have one page alone.
 
 Text: character references decoded, white space in a block one space, trimmed,
 blocks in page order joined by a line feed.
@@ -44,7 +46,7 @@ from pyspark.sql import functions as F
 
 from descra.llm import kit
 
-SUPPORT, FEW, CONSTANT_PAGES, BROADCAST_BYTES = 0.5, 3, 8, 32 << 20
+SUPPORT, FEW, BROADCAST_BYTES = 0.5, 3, 32 << 20
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>?|<\?[^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>?", re.S)
 ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
 RAW = frozenset(("script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "canvas", "annotation", "annotation-xml"))
@@ -216,7 +218,7 @@ def token_hash(token: str) -> int:
 
 
 def occurrences(pages: DataFrame) -> DataFrame:
-    """host, token (hash), is_text, vector (a page's share of the signature), n: a row for each token of each page."""
+    """host, token (hash), is_text, vector (a page's share of the signature), n: a row for each token of each page, and one with null is_text for each page that has any."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -225,7 +227,14 @@ def occurrences(pages: DataFrame) -> DataFrame:
             for a in range(0, batch.num_rows, 256):
                 host, token, text, vector, count = [], [], [], [], []
                 for h, page, markup in zip(*(batch.column(i).slice(a, 256).to_pylist() for i in range(3))):
-                    for t, n in page_tokens(markup or "").items():
+                    tokens = page_tokens(markup or "")
+                    if tokens:
+                        host.append(h)
+                        token.append(0)
+                        text.append(None)
+                        vector.append(0)
+                        count.append(1)
+                    for t, n in tokens.items():
                         host.append(h)
                         token.append(token_hash(t))
                         text.append(t.startswith("text"))
@@ -237,15 +246,17 @@ def occurrences(pages: DataFrame) -> DataFrame:
 
 
 def classes(pages: DataFrame, *, support: float = SUPPORT) -> DataFrame:
-    """host, pages, class (number of the occurrence vector), token, is_text, once: the tokens of each host's frequent classes."""
+    """host, pages (that have tokens), class (number of the occurrence vector), token, is_text: the tokens of each host's frequent classes."""
     per_token = occurrences(pages).groupBy("host", "token", "is_text").agg(F.bit_xor("vector").alias("vector"), F.count("*").alias("pages_with"), F.sum("n").alias("total"))
-    per_host = pages.groupBy("host").agg(F.count("*").alias("pages"))
-    frequent = per_token.join(per_host, "host").where(F.col("pages_with") >= F.greatest(F.lit(2), F.col("pages") * support))
-    return frequent.select("host", "pages", F.xxhash64("vector", "pages_with", "total").alias("class"), "token", "is_text", (F.col("pages_with") == F.col("pages")).alias("everywhere"))
+    # Both sides of the join read one table: what one page alone has, the most, is not in it.
+    repeated = kit.written(per_token.where("pages_with >= 2"), "tokens")
+    per_host = repeated.where("is_text is null").select("host", F.col("pages_with").alias("pages"))
+    frequent = repeated.where("is_text is not null").join(per_host, "host").where(F.col("pages_with") >= F.col("pages") * support)
+    return frequent.select("host", "pages", F.xxhash64("vector", "pages_with", "total").alias("class"), "token", "is_text")
 
 
 def templates(tokens: DataFrame) -> DataFrame:
-    """host, pages, tags (token and class of frequent tags), texts (blocks that every page has, as it has the skeleton).
+    """host, pages, tags (token and class of frequent tags), texts (blocks of frequent classes of three tokens or more).
 
     A host's frequent tokens are at most a page's tokens divided by the support, however many pages there are.
     """
@@ -253,7 +264,7 @@ def templates(tokens: DataFrame) -> DataFrame:
     return tokens.join(size, ["host", "class"]).groupBy("host").agg(
         F.max("pages").alias("pages"),
         F.sort_array(F.collect_list(F.expr("CASE WHEN NOT is_text THEN struct(token, class) END"))).alias("tags"),
-        F.sort_array(F.collect_list(F.expr("CASE WHEN is_text AND everywhere AND size >= 3 THEN token END"))).alias("texts"),
+        F.sort_array(F.collect_list(F.expr("CASE WHEN is_text AND size >= 3 THEN token END"))).alias("texts"),
     )
 
 
@@ -262,7 +273,7 @@ class Template:
 
     def __init__(self, tags: list[dict] | None, texts: list[int] | None, pages: int):
         self.classes = {t["token"]: t["class"] for t in tags or ()}
-        self.texts = set(texts or ()) if pages >= CONSTANT_PAGES else set()
+        self.texts = set(texts or ())
         self.known: dict[str, bool] = {"": True}
         self.pages = pages
 
@@ -304,12 +315,13 @@ def extract(pages: DataFrame, *, support: float = SUPPORT, few: int = FEW, broad
     """page_id, url, text, n_chars (code points) of each row of pages (page_id, url, html)."""
     base = pages.select("page_id", "url", host_of().alias("host"), "html")
     small = base.groupBy("host").agg(F.count("*").alias("host_pages"))
-    # Few pages tell a host's template from its articles badly: such hosts are deduced together.
-    named = kit.written(small.select("host", F.when(F.col("host_pages") < few, F.lit("*")).otherwise(F.col("host")).alias("deduced")), "hosts")
-    hosts = named if not _fits(named, broadcast_bytes) else F.broadcast(named)
-    keyed = base.join(hosts, "host").select("page_id", "url", F.col("deduced").alias("host"), F.xxhash64("page_id", "url").alias("page"), "html")
-    template = kit.written(templates(classes(keyed, support=support)), "templates")
-    found = keyed.join(F.broadcast(template) if _fits(template, broadcast_bytes) else template, "host", "left")
+    # One page tells nothing of a template, so it asks the pool of small hosts; two pages tell their own.
+    pool = F.lit("*")
+    named_hosts = kit.written(small.select("host", F.when(F.col("host_pages") < few, F.array("host", pool)).otherwise(F.array("host")).alias("given"), F.when(F.col("host_pages") < F.least(F.lit(2), F.lit(few)), pool).otherwise(F.col("host")).alias("deduced")), "hosts")
+    hosts = named_hosts if not _fits(named_hosts, broadcast_bytes) else F.broadcast(named_hosts)
+    keyed = base.join(hosts, "host").select("page_id", "url", "given", "deduced", F.xxhash64("page_id", "url").alias("page"), "html")
+    template = kit.written(templates(classes(keyed.select(F.explode("given").alias("host"), "page", "html"), support=support)), "templates")
+    found = keyed.withColumnRenamed("deduced", "host").join(F.broadcast(template) if _fits(template, broadcast_bytes) else template, "host", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, Template] = {}

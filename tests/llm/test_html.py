@@ -75,3 +75,19 @@ def test_an_article_of_its_own_id_is_kept(spark):
     other = lambda i: f'<main><p>main {i}</p></main>' + ("<article><p>real</p></article>" if i == 3 else "")
     df = spark.createDataFrame([(i, f"http://h.example/{i}", other(i)) for i in range(12)], "page_id long, url string, html string")
     assert {r.page_id: r.text for r in ht.extract(df).collect()} == {i: f"main {i}" + ("\nreal" if i == 3 else "") for i in range(12)}
+
+
+def test_one_support_at_every_size_of_host(spark):
+    page = lambda i: f'<div class="top">Always here</div><div class="body"><p>text {i}</p></div>'
+    rows, want = [], {}
+    for size in (1, 2, 3, 5, 7, 8, 20):
+        for i in range(size):
+            rows.append((size * 100 + i, f"http://h{size}.example/{i}", page(i)))
+            want[size * 100 + i] = f"text {i}" if size > 1 else f"Always here\ntext {i}"
+    # Pages that have no tokens do not count, and one that has other tokens does not undo a template.
+    rows += [(2050, "http://h20.example/null", None), (2051, "http://h20.example/empty", " "), (2052, "http://h20.example/error", "<p>error")]
+    rows += [(250 + i, "http://h2.example/empty", "<!-- -->") for i in range(9)]
+    want |= {2050: "", 2051: "", 2052: "error"} | {250 + i: "" for i in range(9)}
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in ht.extract(df).collect()} == want
+    assert {r.page_id: r.text for r in ht.extract(df, broadcast_bytes=0).collect()} == want
