@@ -59,7 +59,7 @@ def shingles(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
         for k in range(n):
             # Words missing at a text's end count as one more, constant, word.
             part = np.zeros(len(hashed), _U)
-            part[: len(hashed) - k] = hashed[k:]
+            part[: max(len(hashed) - k, 0)] = hashed[k:]
             if k:
                 left = np.repeat(at[1:], many) - np.arange(len(hashed))
                 part[left <= k] = _U(0x5851F42D4C957F2D)

@@ -128,3 +128,15 @@ def test_linked_sets_share_a_signature(percent):
             continue
         who, sign = jaccard.signatures(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]), bands)
         assert (a.tolist() == b.tolist()) or set(sign[who == 0].tolist()) & set(sign[who == 1].tolist())
+
+
+def test_tables_of_one_short_text(spark):
+    for k in range(1, 5):
+        text = " ".join("abcd"[:k])
+        flat, at = jaccard.shingles(pa.array([text], pa.large_string()), 5)
+        assert len(flat) == 1 and at.tolist() == [0, 1]
+        # Apart from other texts and among them a text has the same shingle.
+        among, at = jaccard.shingles(pa.array([text, "one two three four five six"], pa.large_string()), 5)
+        assert among[: at[1]].tolist() == flat.tolist()
+    df = spark.createDataFrame([(1, "ab cd"), (2, "ab cd")], "doc_id long, text string").repartition(2, "doc_id")
+    assert [r.doc_id for r in jaccard.deduplicate(df).collect()] == [1]
