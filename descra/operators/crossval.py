@@ -21,7 +21,7 @@ from descra.operators import kernels
 from descra.operators.columns import quoted
 
 RESULT = (
-    "task_id string, target_col string, technique string, outer_fold int, eval_model string, alpha double, l1_ratio double, inner_pooled_spearman double, "
+    "task_id string, target_col string, technique string, seed int, outer_fold int, eval_model string, alpha double, l1_ratio double, inner_pooled_spearman double, "
     "spearman double, pearson double, r2 double, mse double, n_test int, n_selected_features int, selected_features array<string>, "
     "oof_rows array<struct<name: string, y: double, yhat: double>>, importance array<struct<feature: string, weight: double, permutation: double>>, "
     "inner_scores array<struct<candidate: string, score: double>>, error string"
@@ -129,10 +129,10 @@ def run_task(table: pd.DataFrame, technique: Technique, outer: int, features: li
     }
 
 
-def cross_validate(table: DataFrame, targets: list[str], features: list[str], techniques: Sequence[Technique] = TECHNIQUES, done: DataFrame | None = None) -> DataFrame:
+def cross_validate(table: DataFrame, targets: list[str], features: list[str], techniques: Sequence[Technique] = TECHNIQUES, done: DataFrame | None = None, seed: int = 42) -> DataFrame:
     """Results (RESULT) of every technique, target and outer fold of table (name, fold, row_ord, targets, features).
 
-    done holds finished results (task_id): those tasks are left out.
+    done holds finished results (task_id): those tasks are left out.  seed is that of the folds.
     """
     spark = table.sparkSession
     known = {t.name: t for t in techniques}
@@ -141,19 +141,19 @@ def cross_validate(table: DataFrame, targets: list[str], features: list[str], te
     values = F.array(*[F.struct(F.lit(t).alias("target_col"), F.col(quoted(t)).cast("double").alias("y")) for t in targets])
     long = table.select("name", "fold", "row_ord", *[F.col(quoted(f)).alias(x) for x, f in plain.items()], F.explode(values).alias("_")).select("name", "fold", "row_ord", *plain, "_.*").where("y is not null and not isnan(y)")
     names = spark.createDataFrame([(t,) for t in known], "technique string")
-    tasks = long.select("target_col", F.col("fold").alias("outer_fold")).distinct().crossJoin(names).withColumn("task_id", F.concat_ws("|", "target_col", "technique", F.col("outer_fold").cast("string")))
+    tasks = long.select("target_col", F.col("fold").alias("outer_fold")).distinct().crossJoin(names).withColumn("task_id", F.concat_ws("|", "target_col", "technique", F.lit(str(seed)), F.col("outer_fold").cast("string")))
     if done is not None:
         tasks = tasks.join(done.where("error is null").select("task_id"), "task_id", "left_anti")
     columns = [c.split()[0] for c in RESULT.replace("array<struct<name: string, y: double, yhat: double>>", "x").replace("array<struct<feature: string, weight: double, permutation: double>>", "x").replace("array<struct<candidate: string, score: double>>", "x").split(", ")]
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         head = frame.iloc[0]
-        out = dict.fromkeys(columns) | {"task_id": head.task_id, "target_col": head.target_col, "technique": head.technique, "outer_fold": int(head.outer_fold)}
+        out = dict.fromkeys(columns) | {"task_id": head.task_id, "target_col": head.target_col, "technique": head.technique, "seed": seed, "outer_fold": int(head.outer_fold)}
         try:
             out |= run_task(frame.rename(columns=plain), known[head.technique], int(head.outer_fold), features)
         except Exception as e:  # a failed task is a result, which the caller sees and can run again
             out["error"] = f"{type(e).__name__}: {e}"
-        return pd.DataFrame([out], columns=columns).astype({"outer_fold": "int32"})
+        return pd.DataFrame([out], columns=columns).astype({"seed": "int32", "outer_fold": "int32"})
 
     return long.join(tasks, "target_col").groupBy("task_id").applyInPandas(run, RESULT)
 

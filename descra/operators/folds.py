@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 
 from descra.operators.selection import label_order
 
+#: Random folds are drawn once for each of these; the first stands for folds that are not random.
+RANDOM_SEEDS = (42, 43, 44)
+
 
 def shuffled(n: int, k: int, seed: int) -> list[tuple[int, int, int]]:
     """(row, fold, place): a seeded permutation of n rows cut into k segments, the first n % k one longer."""
@@ -131,5 +134,5 @@ def resolve_split(random: bool, columns: list[str], automl: bool = True) -> tupl
     if not automl:
         return "none", ()
     if random:
-        return "random", (42, 43, 44)
+        return "random", RANDOM_SEEDS
     return ("column", (42,)) if "fold" in columns else ("sequence", (42,))

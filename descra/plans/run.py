@@ -57,8 +57,8 @@ def read_descriptors(spark: SparkSession, path: str) -> DataFrame:
     return results.read_features(spark, path) if tables.source_kind(names) == "csv" else results.read_json(spark, path)
 
 
-def prepare(assay: DataFrame, wide: DataFrame, m: Manifest) -> tuple[DataFrame, list[str], list[str]]:
-    """The merged table with folds, its targets and its features."""
+def prepare(assay: DataFrame, wide: DataFrame, m: Manifest) -> tuple[dict[int, DataFrame], list[str], list[str]]:
+    """The merged table with folds for each seed of the folds, its targets and its features."""
     validate.require(validate.assay(assay, split="fold" if "fold" in assay.columns else None))
     targets = [c for c in assay.columns if c.startswith("target_")]
     merged = joins.merge_descriptors(assay, wide)
@@ -66,22 +66,24 @@ def prepare(assay: DataFrame, wide: DataFrame, m: Manifest) -> tuple[DataFrame,
     features = columns.included(own, list(m.descriptors.features)) if m.descriptors.features else own
     table = columns.standardize(merged, "name", targets, features)
     features = [columns.normal_feature(f) for f in features]
+    kinds = dict(table.dtypes)
+    text = [f for f in features if kinds[f] == "string"]
+    if text:
+        table = folds.one_hot(table, text, F.lit(True))
+        features = [c for c in table.columns if c in features or any(c.startswith(f"{t}__") for t in text)]
     kind, seeds = folds.resolve_split(m.automl.split_randomly, assay.columns)
     spark = assay.sparkSession
     rows = table.select("name", *([c for c in ("heavy", "light", "fold") if c in table.columns])).orderBy("name").collect()  # an assay table is small
     names = [r.name for r in rows]
     if kind == "column":
-        table = folds.column_folds(table.withColumnRenamed("fold", "split"), "split").drop("split").join(spark.createDataFrame(list(zip(names, range(len(names)))), "name string, row_ord int"), "name")
+        return {seeds[0]: folds.column_folds(table.withColumnRenamed("fold", "split"), "split").drop("split").join(spark.createDataFrame(list(zip(names, range(len(names)))), "name string, row_ord int"), "name")}, targets, features
+    found = folds.sequence_folds({r.name: f"{r.heavy}{r.light}" for r in rows}) if kind == "sequence" else None
+    if found:
+        plans = {seeds[0]: spark.createDataFrame([(n, found[0][n], i) for i, n in enumerate(names)], "name string, fold int, row_ord int")}
     else:
-        found = folds.sequence_folds({r.name: f"{r.heavy}{r.light}" for r in rows}) if kind == "sequence" else None
-        plan = spark.createDataFrame([(n, found[0][n], i) for i, n in enumerate(names)], "name string, fold int, row_ord int") if found else folds.shuffled_folds(spark, names, m.automl.folds, seeds[0])
-        table = table.join(plan, "name")
-    kinds = dict(table.dtypes)
-    text = [f for f in features if kinds[f] == "string"]
-    if text:
-        table = folds.one_hot(table, text, F.lit(True))
-        features = [c for c in table.columns if c in features or any(c.startswith(f"{t}__") for t in text)]
-    return table, targets, features
+        # Where sequences give no folds, they are random too.
+        plans = {seed: folds.shuffled_folds(spark, names, m.automl.folds, seed) for seed in folds.RANDOM_SEEDS}
+    return {seed: table.join(plan, "name") for seed, plan in plans.items()}, targets, features
 
 
 def run(spark: SparkSession, m: Manifest) -> Log:
@@ -110,28 +112,36 @@ def run(spark: SparkSession, m: Manifest) -> Log:
 
 
 def train(spark: SparkSession, m: Manifest, assay: DataFrame, wide: DataFrame, log: Log) -> None:
-    out = m.run.output
-    table, targets, features = prepare(assay, wide, m)
+    """Cross-validation and final models for each seed of the folds; several seeds have folders of their own."""
+    seeds, targets, features = prepare(assay, wide, m)
+    for seed, table in seeds.items():
+        train_seed(spark, m, table, targets, features, seed, m.run.output if len(seeds) == 1 else f"{m.run.output}/rs{seed}", log)
+
+
+def train_seed(spark: SparkSession, m: Manifest, table: DataFrame, targets: list[str], features: list[str], seed: int, out: str, log: Log) -> None:
     for t in targets:
         validate.drop_missing_targets(table, t, m.automl.most_missing)
         # A target whose folds are out of balance is left out; the others go on.
         bad = validate.unbalanced_folds(table.where(F.col(t).isNotNull()).select(F.lit(t).alias("target"), "fold"), ["target"]).collect()
         if bad:
-            log.add("cross_validate", "skipped", target=t, reason=f"{bad[0].rule} {bad[0].detail}")
+            log.add("cross_validate", "skipped", seed=seed, target=t, reason=f"{bad[0].rule} {bad[0].detail}")
             targets = [x for x in targets if x != t]
     if not targets:
         return
     table.write.mode("overwrite").parquet(f"{out}/table")
     table = spark.read.parquet(f"{out}/table")
     known = [t for t in crossval.TECHNIQUES if t.name in m.automl.techniques]
-    done = spark.read.parquet(f"{out}/results") if m.run.resume else None
-    found = crossval.cross_validate(table, targets, features, known, done)
+    # A run may have ended before its later seeds began.
+    done = spark.read.parquet(f"{out}/results") if m.run.resume and sinks.exists(spark, f"{out}/results") else None
+    if done is not None and "seed" not in done.columns:
+        raise ValueError("finished results have no seed: run anew")
+    found = crossval.cross_validate(table, targets, features, known, done, seed)
     found.write.mode("append" if m.run.resume else "overwrite").parquet(f"{out}/results")
     results_ = spark.read.parquet(f"{out}/results").where("error is null")
     for r in spark.read.parquet(f"{out}/results").where("error is not null").select("task_id", "error").collect():
         log.add("cross_validate", "failed", task=r.task_id, reason=r.error)
     sinks.write_run(results_, out)
-    log.add("cross_validate", "ended", tasks=results_.count())
+    log.add("cross_validate", "ended", seed=seed, tasks=results_.count())
     if "final_models" in m.stages():
         final_models(spark, table.toPandas(), results_, features, {t.name: t for t in known}, out, log)
 

@@ -122,3 +122,19 @@ def test_whole_run_from_descriptors(spark, tmp_path, capsys):
     assert model["kind"] == "elasticnet" and spark.read.parquet(f"file://{tmp_path}/out/results").count() == 3
     (tmp_path / "bad.json").write_text("{}")
     assert cli.main(["validate", str(tmp_path / "bad.json")]) == 2
+
+
+def test_random_folds_run_for_every_seed(spark, tmp_path):
+    t = table(24)
+    assay = spark.createDataFrame(pd.DataFrame({"name": t.name, "heavy": ["A" * (k + 1) for k in range(24)], "light": "C", "target_y": t.target_y}))
+    wide = spark.createDataFrame(t[["name", *(f"f{k}" for k in range(5))]])
+    settings = {"inputs": {"assays": "a", "descriptors": "d"}, "run": {"output": f"file://{tmp_path}/out"}, "automl": {"techniques": ["elasticnet"], "split_randomly": True, "folds": 3, "final_model": False}}
+    log = plan.Log()
+    plan.train(spark, manifest.parse(settings), assay, wide, log)
+    rows = [r for seed in (42, 43, 44) for r in spark.read.parquet(f"file://{tmp_path}/out/rs{seed}/results").collect()]
+    assert not log.failed() and sorted((r.seed, r.outer_fold) for r in rows) == [(s, f) for s in (42, 43, 44) for f in range(3)]
+    assert len({r.task_id for r in rows}) == 9 and all(r.error is None and f"|{r.seed}|" in r.task_id for r in rows)
+    assert len({frozenset(o.name for o in r.oof_rows) for r in rows}) > 3
+    # Few sequences give no folds: random ones then, for all seeds.
+    settings["automl"]["split_randomly"] = False
+    assert list(plan.prepare(assay.where("length(heavy) < 8"), wide, manifest.parse(settings))[0]) == [42, 43, 44]
