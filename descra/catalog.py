@@ -366,8 +366,9 @@ def cross_validated_models(spark, sf_dir):
     nations = [r.n_nationkey for r in read(spark, sf_dir, "nation").select("n_nationkey").orderBy("n_nationkey").collect()]
     targets = [F.when(F.col("c_nationkey") == n, F.col("c_acctbal")).alias(f"target_{n}") for n in nations]
     table = own.select(F.col("c_name").alias("name"), (F.col("c_custkey") % 3).cast("int").alias("fold"), F.col("c_custkey").alias("row_ord"), "n_orders", "mean_price", "top_price", *targets)
-    some = (crossval.Technique("elasticnet", prune=False, models=("elasticnet",), alphas=(0.1, 1.0), l1_ratios=(0.5,)), crossval.Technique("intercorr_svm", models=("linear",)))
-    return crossval.cross_validate(table, [f"target_{n}" for n in nations], ["n_orders", "mean_price", "top_price"], some).select("target_col", "technique", "outer_fold", "eval_model", "n_test", "error")
+    found = crossval.cross_validate(table, [f"target_{n}" for n in nations], ["n_orders", "mean_price", "top_price"])
+    return found.select("target_col", "technique", "outer_fold", "eval_model", "n_test", "n_selected_features", *[q6(F.col(c)).alias(c) for c in ("inner_pooled_spearman", "spearman", "pearson", "r2", "mse")], "error")
+
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -138,3 +138,12 @@ def test_random_folds_run_for_every_seed(spark, tmp_path):
     # Few sequences give no folds: random ones then, for all seeds.
     settings["automl"]["split_randomly"] = False
     assert list(plan.prepare(assay.where("length(heavy) < 8"), wide, manifest.parse(settings))[0]) == [42, 43, 44]
+
+
+def test_registered_cross_validation_runs_every_technique(spark, monkeypatch):
+    from descra import catalog
+
+    sf, asked, real = "/root/testdata/sf0.001", [], crossval.cross_validate
+    monkeypatch.setattr(crossval, "cross_validate", lambda *a, **k: asked.append((a[3:], k)) or real(*a, **k))
+    found = catalog.cross_validated_models(spark, sf)
+    assert asked == [((), {})] and {"inner_pooled_spearman", "spearman", "pearson", "r2", "mse"} <= set(found.columns)
