@@ -5,26 +5,34 @@ shingles.  One pass over the texts gives each document its set's size and a
 64-bit digest; documents of equal sets are one class, so copies cost nothing
 further.  The join is exact on 64-bit shingle hashes:
 
-1. Signatures.  Linked sets of at most u shingles differ in at most
-   D = 2u(100-p)/(100+p) of them.  Hash ranges cut the shingles into k > D parts,
-   so linked sets agree in one whole part at least (or in two, where D is small).
-   A part's hash is a column of the matrix; sizes are banded, and a set also enters
-   the next band where a partner could be.  A frequent passage alone fills no part of a longer text,
-   so it gathers no bucket.
-2. Groups.  Classes whose buckets meet get a pivot (the least class met) and so
-   form groups of similar documents; groups are split into blocks of about
-   ``block`` classes.  A block's classes are compared with one another, and its
-   token union, its row of the matrix, is written.
-3. Query against group.  Where a bucket still holds classes of several
-   components, each is a query against the blocks of the others.  The overlap of
-   its shingles with the block's stored union bounds every overlap inside; only
-   blocks that can reach the threshold are opened and compared.
+1. Meeting.  Linked sets differ in at most D = (a+b)(100-p)/(100+p) shingles.
+   Hash ranges cut sets of a band of sizes into k > D parts, so linked sets agree
+   in k - D whole parts at least.  Parts are ordered by how many shingles they
+   hold, the most first, since the more a part holds the rarer it is, and a set
+   gives the first D + 1 of them only, of which linked sets share one.  Sets that
+   give the same part meet in a bucket.
+2. Groups.  A class's core is its shingles of the lowest hashes, a share of the
+   hash range that is three times the difference that a link allows; two classes
+   that link differ little in their cores.  A class is held against the least
+   class of each of its buckets, by a looser bound than a link's; where a bucket still holds several groups, its
+   classes are split into blocks, each class is a query against the token union
+   of every block, and only blocks whose union holds enough of it are looked
+   into.  The connected classes are a group of similar documents: links stay
+   inside a group.
+3. Links.  A group is split into blocks of about ``block`` classes.  A block's
+   whole sets are compared with one another.  Where a group has several blocks,
+   one query for each component of a block is held against the first block, and
+   what is then not in the group's largest component against all blocks: first
+   core against the block's union of cores, its row of the matrix, which bounds
+   every overlap inside; whole sets only for the blocks that this leaves open.
 4. Components of all links, over written tables.
 
-Each step returns links that span what it found (at most one a class and
-component), never all pairs.  Every exchange is keyed by a part's hash, by a
-class, or by a bounded block; per-key minima are pre-aggregated.  Buckets are
-streamed in sorted order, never gathered.
+Each step gives links that span what it found (at most one a class and
+component), never all pairs.  Cores and ids are shuffled, texts only for blocks
+that are compared.  Every exchange is keyed by a part's hash, by a class, or by a
+bounded block whose queries are streamed; buckets are streamed in sorted order,
+never gathered.  What remains quadratic: n classes of one bucket or group that
+neither link nor differ in their cores ask n * n / (2 * block) blocks.
 
 Defined results: null, empty and wordless texts have the empty set and link with
 nothing; fewer than n words are one shingle; rows that share a doc_id are one
@@ -44,7 +52,7 @@ from pyspark.sql import functions as F
 from descra.llm import kit, words
 from descra.llm.tokens import as_strings, slices
 
-SLICE_BYTES, BLOCK, QUERIES, PREFIXES, PAIRED = 1 << 20, 128, 512, 1 << 20, 8
+SLICE_BYTES, BLOCK, BLOCK_SHINGLES, QUERIES, PREFIXES = 1 << 20, 512, 1 << 18, 1024, 1 << 20
 _U = np.uint64
 
 
@@ -92,13 +100,12 @@ class Bands:
         # Sets whose sizes sum to less than both / rest differ in nothing if they link.
         edges = [max(1, both // (2 * rest))] if rest else [most]
         while edges[-1] < most:
-            edges.append(edges[-1] * 3 // 2 + 1)
+            edges.append(edges[-1] * 2 + 1)
         self.edges = np.array(edges)
         self.top = self.edges[1:] - 1
-        self.differ = 2 * self.top * rest // both
-        # Few differences: all pairs of differ + 2 parts, of which linked sets agree in one pair at least.
-        self.paired = self.differ <= PAIRED
-        self.parts = np.where(self.paired, self.differ + 2, self.differ + 3 + self.differ // 40)
+        differ = 2 * self.top * rest // both
+        # A quarter more than have to be, so that parts of a single shingle need not be given.
+        self.parts = differ + 2 + differ // 4
 
     def most_differ(self, size: np.ndarray, band: np.ndarray) -> np.ndarray:
         """In how many shingles a set of this size may differ from one of the band that it links with."""
@@ -111,53 +118,41 @@ class Bands:
     def enter_next(self, size: np.ndarray) -> np.ndarray:
         """Whether a set may link with one of the next band: its partner has at most 100 / percent times its size."""
         band = self.of(size)
-        return (band + 1 < len(self.parts)) & (size * 100 >= self.edges[np.minimum(band + 1, len(self.edges) - 1)] * self.percent)
+        return (size > 0) & (band + 1 < len(self.parts)) & (size * 100 >= self.edges[np.minimum(band + 1, len(self.edges) - 1)] * self.percent)
 
 
 def signatures(flat: np.ndarray, at: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
-    """(set, signature) of every set's parts; empty parts only where a set has so many that it could agree in those alone."""
+    """(set, signature): of every set's parts the first that a link must share, those with the most shingles first."""
     size = np.diff(at)
     band = bands.of(size)
-    sets = np.concatenate([np.flatnonzero(band >= 0), np.flatnonzero((band >= 0) & bands.enter_next(size))])
-    band = np.concatenate([band[band >= 0], band[(band >= 0) & bands.enter_next(size)] + 1])
-    # A set just below the first band may still link into it.
-    low = np.flatnonzero((size > 0) & (bands.of(size) < 0) & (size * 100 >= bands.edges[0] * bands.percent)) if len(bands.parts) else np.zeros(0, np.int64)
-    sets, band = np.concatenate([sets, low]), np.concatenate([band, np.zeros(len(low), np.int64)])
+    own, up = np.flatnonzero(band >= 0), np.flatnonzero(bands.enter_next(size))
+    sets, band = np.concatenate([own, up]), np.concatenate([band[own], band[up] + 1])
     if not len(sets):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    out = [part_signatures(flat, at, sets[some], band[some], bands, paired) for paired in (False, True) for some in [bands.paired[band] == paired] if some.any()]
-    return np.concatenate([x for x, _ in out]), np.concatenate([x for _, x in out])
-
-
-def part_signatures(flat: np.ndarray, at: np.ndarray, sets: np.ndarray, band: np.ndarray, bands: Bands, paired: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Signatures of sets in bands, either all paired or none."""
-    many, parts = np.diff(at)[sets], bands.parts[band]
+    many, parts = size[sets], bands.parts[band]
     entry = np.repeat(np.arange(len(sets)), many)
     value = flat[np.repeat(at[:-1][sets] - (np.cumsum(many) - many), many) + np.arange(many.sum())]
     with np.errstate(over="ignore"):
         part = ((value >> _U(32)) * parts[entry].astype(_U) >> _U(32)).astype(np.int64)
         first = np.flatnonzero(np.concatenate([[True], (entry[1:] != entry[:-1]) | (part[1:] != part[:-1])]))
+        holds = np.diff(np.append(first, len(value)))
         total = np.concatenate([[_U(0)], np.cumsum(value, dtype=_U)])
         total = total[np.append(first[1:], len(value))] - total[first]
         entry, part = entry[first], part[first]
-        if paired:
-            table = words.mix(band[:, None].astype(_U) << _U(32) | np.arange(PAIRED + 2, dtype=_U)[None])
-            table[entry, part] = words.mix(table[entry, part] + total + _U(1))
-            out_set, out = [], []
-            for i in range(PAIRED + 2):
-                for j in range(i + 1, PAIRED + 2):
-                    some = np.flatnonzero(parts > j)
-                    out_set.append(sets[some])
-                    out.append(words.mix(table[some, i] * _U(3) + words.mix(table[some, j])))
-            return np.concatenate(out_set), np.concatenate(out).view(np.int64)
         sign = words.mix(total + words.mix((band[entry] << 32 | part).astype(_U)))
-        out_set, out = [sets[entry]], [sign]
-        # Linked sets agree in parts - most_differ parts; only a set with so many empty ones may agree in those alone.
-        empty = parts - np.bincount(entry, minlength=len(sets))
-        for e in np.flatnonzero(empty >= parts - bands.most_differ(many, band)):
-            gone = np.setdiff1d(np.arange(parts[e]), part[np.searchsorted(entry, e) : np.searchsorted(entry, e + 1)])
-            out_set.append(np.full(len(gone), sets[e]))
-            out.append(words.mix(words.mix((band[e] << 32 | gone).astype(_U))))
+    give = bands.most_differ(many, band) + 1
+    order = np.lexsort((sign, -holds, entry))
+    filled = np.bincount(entry, minlength=len(sets))
+    rank = np.arange(len(order)) - np.repeat(np.cumsum(filled) - filled, filled)
+    chosen = order[rank < give[entry[order]]]
+    out_set, out = [sets[entry[chosen]]], [sign[chosen]]
+    # Empty parts come last; a set gives some only where its filled ones are too few.
+    for e in np.flatnonzero(filled < give):
+        gone = np.setdiff1d(np.arange(parts[e]), part[np.searchsorted(entry, e) : np.searchsorted(entry, e + 1)])
+        with np.errstate(over="ignore"):
+            empty = np.sort(words.mix(words.mix((band[e] << 32 | gone).astype(_U))))[: give[e] - filled[e]]
+        out_set.append(np.full(len(empty), sets[e]))
+        out.append(empty)
     return np.concatenate(out_set), np.concatenate(out).view(np.int64)
 
 
@@ -276,15 +271,6 @@ def joined(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
     return batches[0] if len(batches) == 1 else pa.Table.from_batches(batches).combine_chunks().to_batches()[0]
 
 
-def unpack(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Sets stored as binary: the shingles, and where each set's begin."""
-    column = column.cast(pa.large_binary())
-    _, offsets, data = column.buffers()
-    offsets = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
-    flat = np.frombuffer(data, np.uint8)[int(offsets[0]) : int(offsets[-1])] if data and offsets[-1] > offsets[0] else np.zeros(0, np.uint8)
-    return np.frombuffer(flat.tobytes(), "<u8"), (offsets - offsets[0]) // 8
-
-
 def linked(share: np.ndarray, n: int, sizes: np.ndarray, percent: int) -> np.ndarray:
     return (100 + percent) * share >= percent * (n + sizes)
 
@@ -310,83 +296,164 @@ def link_block(flat: np.ndarray, at: np.ndarray, percent: int) -> np.ndarray:
     return root
 
 
-def shingle_sets(n: int) -> Callable:
-    """Rows (pivot, block, set_id, text): text as its shingles (binary, ascending little-endian unsigned 64-bit), where they are that set."""
+def core(flat: np.ndarray, at: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each set's shingles in the lowest part of the hash range, as 32 bits of each, ascending."""
+    share = min(1.0, 3 * (100 - percent) / (100 + percent))
+    low = flat >> _U(40) < _U(int(share * (1 << 24)))
+    owner = np.repeat(np.arange(len(at) - 1), np.diff(at))[low]
+    token = flat[low].astype(np.uint32)
+    order = np.lexsort((token, owner))
+    owner, token = owner[order], token[order]
+    new = np.ones(len(token), bool)
+    new[1:] = (owner[1:] != owner[:-1]) | (token[1:] != token[:-1])
+    owner, token = owner[new], token[new]
+    return token, np.searchsorted(owner, np.arange(len(at))).astype(np.int64)
+
+
+def cores(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """doc_id, set_id, n_shingles, core (little-endian unsigned 32-bit) of each row of docs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, some in slices(as_strings(batch.column(3)), SLICE_BYTES):
+            for at, some in slices(as_strings(batch.column(1)), SLICE_BYTES):
                 flat, begin = shingles(some, n)
-                data = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(some), [None, pa.py_buffer(begin.astype(np.int64) * 8), pa.py_buffer(flat.astype("<u8"))])
-                own = batch.slice(at, len(some))
-                made = pa.record_batch([*own.columns[:3], data.cast(pa.binary())], names=["pivot", "block", "set_id", "shingles"])
-                yield made.filter(pa.array(own.column(2).to_numpy() == digests(flat, begin)))
+                token, first = core(flat, begin, percent)
+                data = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(some), [None, pa.py_buffer(first * 4), pa.py_buffer(token.astype("<u4"))])
+                yield pa.record_batch([batch.column(0).slice(at, len(some)), pa.array(digests(flat, begin)), pa.array(np.diff(begin).astype(np.int64)), data.cast(pa.binary())], names=["doc_id", "set_id", "n_shingles", "core"])
+
+    return docs.select("doc_id", "text").transform(kit.arrow(run, "doc_id long, set_id long, n_shingles long, core binary"))
+
+
+class Block:
+    """Sets that queries are held against: their tokens (all, or those of their cores), sizes and components."""
+
+    def __init__(self, flat: np.ndarray, at: np.ndarray, sizes: np.ndarray, percent: int):
+        owner = np.repeat(np.arange(len(at) - 1), np.diff(at))
+        order = np.argsort(flat, kind="stable")
+        self.tokens, self.owner = flat[order], owner[order]
+        self.many, self.sizes, self.percent = np.diff(at), sizes, percent
+
+    def near(self, flat: np.ndarray, at: np.ndarray, sizes: np.ndarray, most: int = 1 << 21) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(query, member): those that may link, and with whole sets do; a query that the block's union does not hold is not looked at."""
+        p, m = self.percent, len(self.many)
+        j = 0
+        while j < len(sizes):
+            # As many queries as share ``most`` tokens with members at the most, one at least.
+            i, j = j, max(j + 1, int(np.searchsorted(at, at[j] + most // max(m, 1), "right")) - 1)
+            own, many = flat[at[i] : at[j]], np.diff(at[i : j + 1])
+            left = np.searchsorted(self.tokens, own, "left")
+            found = np.searchsorted(self.tokens, own, "right") - left
+            query = np.repeat(np.arange(j - i), many)
+            missing = many - np.bincount(query, found > 0, j - i).astype(np.int64)
+            # Of a query that links with a member, the union lacks at most the share that a link allows.
+            open_ = 100 * missing <= (100 - p) * sizes[i:j]
+            found = np.where(open_[query], found, 0)
+            owner = self.owner[np.repeat(left - (np.cumsum(found) - found), found) + np.arange(found.sum())]
+            common = np.bincount(np.repeat(query, found) * m + owner, minlength=(j - i) * m).reshape(j - i, m)
+            apart = many[:, None] + self.many[None] - 2 * common
+            linked = open_[:, None] & ((100 + p) * apart <= (100 - p) * (sizes[i:j, None] + self.sizes[None])) & (sizes[i:j, None] > 0) & (self.sizes[None] > 0)
+            q, member = np.nonzero(linked)
+            yield q + i, member
+
+
+def unpack(column: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """Sets stored as binary: their tokens, and where each set's begin."""
+    column = column.cast(pa.large_binary())
+    _, offsets, data = column.buffers()
+    offsets = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
+    flat = np.frombuffer(data, np.uint8)[int(offsets[0]) : int(offsets[-1])] if data and offsets[-1] > offsets[0] else np.zeros(0, np.uint8)
+    return np.frombuffer(flat.tobytes(), kind), (offsets - offsets[0]) // np.dtype(kind).itemsize
 
-    return run
+
+KEYS = ("of", "block", "part")
+ASKED = "of long, block long, part long, a long, b long"
 
 
-def block_links(percent: int) -> Callable:
-    """Rows (pivot, block, set_id, shingles) by block: a row (set, root) each, and one row with the block's union."""
+def ask(percent: int, sets: Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]], own: bool) -> Callable:
+    """Rows (of, block, part, is_query, set_id, component, ...) sorted so: near pairs (a, b) of a query and a member, one for each other component.
+
+    ``sets`` gives a batch's tokens, where each set's begin, sizes and which rows to take.  Only a block's members are
+    held; its queries are streamed.  ``own``: members are queries too.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in stream_groups(batches, 2):
-            flat, at = unpack(group.column(3))
-            root = link_block(flat, at, percent)
-            sets = group.column(2).to_numpy()
-            union = np.unique(flat).astype("<u8").tobytes()
-            k = len(sets)
-            keys = [pa.concat_arrays([group.column(i), group.column(i).slice(0, 1)]) for i in (0, 1)]
-            yield pa.record_batch([*keys, pa.array([*sets.tolist(), None], pa.int64()), pa.array([*sets[root].tolist(), None], pa.int64()), pa.array([None] * k + [union], pa.binary())], names=["pivot", "block", "set_id", "root", "tokens"])
+        held: list[tuple] = []
+        key, block = None, None
+
+        def close() -> Block:
+            at = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(x[1]) for x in held]))]).astype(np.int64)
+            whole = np.concatenate([x[0] for x in held]), at, np.concatenate([x[2] for x in held])
+            made = Block(*whole, percent)
+            made.ids, made.components = (np.concatenate([x[i] for x in held]) for i in (3, 4))
+            made.whole = whole
+            return made
+
+        def pairs(block: Block, flat, at, sizes, ids, components) -> Iterator[pa.RecordBatch]:
+            for q, member in block.near(flat, at, sizes):
+                new = components[q] != block.components[member]
+                q, member = q[new], member[new]
+                _, first = np.unique(q * len(block.ids) + np.unique(block.components, return_inverse=True)[1][member], return_index=True)
+                if len(first):
+                    n = len(first)
+                    yield pa.record_batch([*(pa.array(np.full(n, k)) for k in key), pa.array(ids[q[first]]), pa.array(block.ids[member[first]])], names=[*KEYS, "a", "b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            heads = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(4)])
+            cuts = [0, *(np.flatnonzero((heads[:, 1:] != heads[:, :-1]).any(0)) + 1).tolist(), batch.num_rows]
+            for i, j in zip(cuts, cuts[1:]):
+                now, query = tuple(heads[:3, i].tolist()), bool(heads[3, i])
+                if now != key:
+                    if own and held:
+                        block = close()
+                        yield from pairs(block, *block.whole, block.ids, block.components)
+                    key, block, held = now, None, []
+                some = batch.slice(i, j - i)
+                flat, at, sizes, take = sets(some)
+                ids, components = some.column(4).to_numpy()[take], some.column(5).to_numpy()[take]
+                if not query:
+                    held.append((flat, at, sizes, ids, components))
+                elif held:
+                    if block is None:
+                        block = close()
+                    yield from pairs(block, flat, at, sizes, ids, components)
+        if own and held:
+            block = close()
+            yield from pairs(block, *block.whole, block.ids, block.components)
 
     return run
 
 
-def bound_queries(percent: int) -> Callable:
-    """Rows (pivot, block, part, query, shingles; the union first, with a null query): the queries that could link with a member."""
+def from_cores(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    return *unpack(batch.column(7), "<u4"), batch.column(6).to_numpy(), np.arange(batch.num_rows)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in stream_groups(batches, 3):
-            flat, at = unpack(group.column(4))
-            query = group.column(3).to_pylist()
-            union = np.unique(np.concatenate([flat[at[i] : at[i + 1]] for i, q in enumerate(query) if q is None] or [flat[:0]]))
-            inside = np.isin(flat, union).astype(np.int64)
-            total = np.concatenate([[0], np.cumsum(inside)])
-            overlap, size = total[at[1:]] - total[at[:-1]], np.diff(at)
-            # |A & B| / |A | B| <= overlap / |A|.
-            ok = np.array([q is not None for q in query]) & (100 * overlap >= percent * size)
-            yield group.select([0, 1, 2, 3]).filter(pa.array(ok))
 
-    return run
+def from_texts(n: int) -> Callable:
+    """Whole sets of texts, of the rows whose text has the set that is asked for (rows may share a doc_id)."""
 
+    def sets(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        flat, at = shingles(as_strings(batch.column(6)), n)
+        right = digests(flat, at) == batch.column(4).to_numpy()
+        many = np.diff(at)
+        return flat[np.repeat(right, many)], np.concatenate([[0], np.cumsum(many[right])]).astype(np.int64), many[right], np.flatnonzero(right)
 
-def open_blocks(percent: int) -> Callable:
-    """Rows (pivot, block, part, set_id, shingles, component, is_query) by part: links (a, b) of each query to one member of each other component."""
+    return sets
+
+
+def inner_links(n: int, percent: int) -> Callable:
+    """Rows (of, block, set_id, text) by block: a row (of, block, set_id, root) each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in stream_groups(batches, 3):
-            flat, at = unpack(group.column(4))
-            sets, component = (group.column(i).to_numpy() for i in (3, 5))
-            query = group.column(6).to_numpy(zero_copy_only=False).astype(bool)
-            sizes = np.diff(at)
-            tokens, number = np.unique(flat, return_inverse=True)
-            mark = np.zeros(len(tokens), np.int32)
-            a, b = [], []
-            members = np.flatnonzero(~query)
-            if not len(members) or not query.any():
-                continue
-            # Members are few (a block); queries are looked up against each member at once.
-            found: set[tuple[int, int]] = set()
-            for m in members:
-                mark[number[at[m] : at[m + 1]]] = 1
-                share = np.add.reduceat(mark[number], at[:-1])
-                mark[number[at[m] : at[m + 1]]] = 0
-                for q in np.flatnonzero(query & (component != component[m]) & linked(share, sizes[m], sizes, percent)):
-                    if (key := (sets[q], component[m])) not in found:
-                        found.add(key)
-                        a.append(sets[q])
-                        b.append(sets[m])
-            if a:
-                yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+        for group in stream_groups(batches, 2):
+            flat, at = shingles(as_strings(group.column(3)), n)
+            right = np.flatnonzero(digests(flat, at) == group.column(2).to_numpy())
+            many = np.diff(at)
+            kept = np.zeros(len(many), bool)
+            kept[right] = True
+            root = link_block(flat[np.repeat(kept, many)], np.concatenate([[0], np.cumsum(many[right])]).astype(np.int64), percent)
+            ids = group.column(2).to_numpy()[right]
+            yield pa.record_batch([group.column(0).take(pa.array(right)), group.column(1).take(pa.array(right)), pa.array(ids), pa.array(ids[root])], names=["of", "block", "set_id", "root"])
 
     return run
 
@@ -395,49 +462,100 @@ def by_block(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(*keys).sortWithinPartitions(*keys)
 
 
+def meet(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """bucket, set_id, least: the classes that meet."""
+    found = by_block_sorted(signature_rows(docs, n, percent)).transform(kit.arrow(buckets, "bucket long, set_id long, least long"))
+    return found.groupBy("bucket", "set_id").agg(F.min("least").alias("least"))
+
+
+def group_sets(met: DataFrame, core: DataFrame, *, percent: int, block: int) -> DataFrame:
+    """set_id, of: the classes that are near another one by their cores, and the least class of their group."""
+    # Looser than a link, so that a family of near copies is one group and its buckets need no second look.
+    percent = max(1, 100 - 3 * (100 - percent))
+    a, b = (core.select(F.col("set_id").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("core").alias(f"core_{x}")) for x in "ab")
+    stars = met.where("set_id <> least").select(F.col("set_id").alias("a"), F.col("least").alias("b")).distinct()
+
+    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                (x, x_at), (y, y_at) = unpack(batch.column(4), "<u4"), unpack(batch.column(5), "<u4")
+                row = lambda at: np.repeat(np.arange(batch.num_rows, dtype=np.uint64) << _U(32), np.diff(at))
+                both = row(x_at) | x.astype(_U), row(y_at) | y.astype(_U)
+                common = np.bincount((np.intersect1d(*both) >> _U(32)).astype(np.int64), minlength=batch.num_rows)
+                apart = np.diff(x_at) + np.diff(y_at) - 2 * common
+                sizes = batch.column(2).to_numpy() + batch.column(3).to_numpy()
+                yield batch.select([0, 1]).filter(pa.array((100 + percent) * apart <= (100 - percent) * sizes))
+
+    near = stars.join(b, "b").join(a, "a").select("a", "b", "n_a", "n_b", "core_a", "core_b").transform(kit.arrow(close, "a long, b long"))
+    near = kit.written(near, "near")
+    known = kit.components(near).select(F.col("node").alias("set_id"), F.col("component").alias("of"))
+    # Buckets that hold several groups: blocks of their classes, each class a query against the blocks.
+    here = met.select("bucket", "set_id").join(known, "set_id", "left").withColumn("of", F.coalesce("of", "set_id"))
+    here = kit.written(here, "here")
+    apart = here.groupBy("bucket").agg(F.min("of").alias("lo"), F.max("of").alias("hi"), F.ceil(F.count("*") / F.lit(block)).alias("blocks")).where("lo < hi").select("bucket", "blocks")
+    mixed = here.join(apart, "bucket").withColumn("own", F.pmod(F.xxhash64("set_id"), "blocks"))
+    asked = mixed.withColumn("block", F.explode(F.sequence("own", F.col("blocks") - 1)))
+    rows = asked.join(core, "set_id").select(F.col("bucket").alias("of"), "block", F.lit(0).cast("long").alias("part"), (F.col("block") != F.col("own")).alias("is_query"), "set_id", F.col("of").alias("component"), "n_shingles", "core")
+    more = kit.written(blocked(rows).transform(kit.arrow(ask(percent, from_cores, own=True), ASKED)).select("a", "b"), "near")
+    if more.isEmpty():
+        return known
+    return kit.components(near.unionByName(more)).select(F.col("node").alias("set_id"), F.col("component").alias("of"))
+
+
+def blocked(rows: DataFrame) -> DataFrame:
+    return rows.repartition(*KEYS).sortWithinPartitions(*KEYS, "is_query")
+
+
 def link_sets(docs: DataFrame, ids: DataFrame, *, n: int, percent: int, block: int, queries: int) -> DataFrame:
     """Links (a, b) that span every component of the classes. ids: set_id, doc_id of one document of each class."""
-    found = by_block_sorted(signature_rows(docs, n, percent)).transform(kit.arrow(buckets, "bucket long, set_id long, least long"))
-    met = kit.written(found.groupBy("bucket", "set_id").agg(F.min("least").alias("least")), "buckets")
-    pivots = kit.written(met.groupBy("set_id").agg(F.min("least").alias("pivot")), "pivots")
-    counts = pivots.groupBy("pivot").agg(F.ceil(F.count("*") / F.lit(block)).alias("blocks"))
-    assigned = pivots.join(counts, "pivot").select("set_id", "pivot", F.pmod(F.xxhash64("set_id"), "blocks").alias("block"))
-    # Shingles only of classes that meet another: one document of each is read again.
-    wanted = kit.written(assigned.join(ids, "set_id").select("doc_id", "set_id", "pivot", "block"), "wanted")
-    texts = filtered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), wanted)
-    members = kit.written(texts.join(wanted.hint("merge"), "doc_id").select("pivot", "block", "set_id", "text").transform(kit.arrow(shingle_sets(n), "pivot long, block long, set_id long, shingles binary")), "members")
-    inside = kit.written(by_block(members, "pivot", "block").transform(kit.arrow(block_links(percent), "pivot long, block long, set_id long, root long, tokens binary")), "blocks")
-    first = inside.where("root <> set_id").select(F.col("set_id").alias("a"), F.col("root").alias("b"))
-    known = kit.components(first).select(F.col("node").alias("set_id"), "component")
-    place = inside.where("set_id is not null").select("set_id", "pivot", "block").distinct().join(known, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
-    place = kit.written(place, "places")
-    # Buckets that hold several components still.
-    here = met.select("bucket", "set_id").join(place, "set_id")
-    apart = here.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
-    mixed = kit.written(here.join(apart, "bucket"), "mixed")
-    groups = mixed.groupBy("bucket", "pivot", "block").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-    # One direction is enough where both are alone in their blocks; the bound and the comparison are symmetric.
-    asked = (
-        mixed.select("bucket", F.col("set_id").alias("query"), F.col("component").alias("own"))
-        .join(groups, "bucket")
-        .where("lo <> own or hi <> own")
-        .where("own >= lo")
-        .select("pivot", "block", "query")
-        .distinct()
-    )
-    asked = asked.withColumn("part", F.pmod(F.xxhash64("query"), F.lit(1 << 20)))
-    load = asked.groupBy("pivot", "block").agg(F.ceil(F.count("*") / F.lit(queries)).alias("parts"))
-    asked = kit.written(asked.join(load, ["pivot", "block"]).select("pivot", "block", (F.col("part") % F.col("parts")).alias("part"), "query"), "asked")
-    parts = asked.select("pivot", "block", "part").distinct()
-    own = members.select(F.col("set_id").alias("query"), "shingles")
-    unions = inside.where("tokens is not null").select("pivot", "block", "tokens").join(parts, ["pivot", "block"]).select("pivot", "block", "part", F.lit(None).cast("long").alias("query"), F.col("tokens").alias("shingles"))
-    bounded = by_block(asked.join(own, "query").select("pivot", "block", "part", "query", "shingles").unionByName(unions), "pivot", "block", "part")
-    opened = kit.written(bounded.transform(kit.arrow(bound_queries(percent), "pivot long, block long, part long, query long")), "opened")
-    components = place.select("set_id", "component")
-    asking = opened.withColumnRenamed("query", "set_id").join(members.select("set_id", "shingles"), "set_id").join(components, "set_id").select("pivot", "block", "part", "set_id", "shingles", "component", F.lit(True).alias("is_query"))
-    answering = members.join(opened.select("pivot", "block", "part").distinct(), ["pivot", "block"]).join(components, "set_id").select("pivot", "block", "part", "set_id", "shingles", "component", F.lit(False).alias("is_query"))
-    second = by_block(asking.unionByName(answering), "pivot", "block", "part").transform(kit.arrow(open_blocks(percent), "a long, b long"))
-    return kit.written(first.unionByName(second), "links")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    met = kit.written(meet(docs, n, percent), "buckets")
+    wanted = kit.written(met.select("set_id").distinct().join(ids, "set_id"), "wanted")
+    core = kit.written(cores(filtered(docs, wanted), n, percent).join(wanted, ["set_id", "doc_id"]).dropDuplicates(["set_id", "doc_id"]), "cores")
+    groups = group_sets(met, core, percent=percent, block=block)
+    sized = kit.written(core.join(groups, "set_id"), "groups")
+    load = sized.groupBy("of").agg(F.greatest(F.ceil(F.count("*") / F.lit(block)), F.ceil(F.sum("n_shingles") / F.lit(BLOCK_SHINGLES))).alias("blocks"))
+    place = kit.written(sized.join(load, "of").select("of", F.pmod(F.xxhash64("set_id"), "blocks").alias("block"), "set_id", "doc_id", "n_shingles", "core", "blocks"), "blocks")
+    texts = filtered(docs, place)
+    whole = by_block(texts.join(place.select("of", "block", "set_id", "doc_id").hint("merge"), "doc_id").select("of", "block", "set_id", "text"), "of", "block")
+    inside = kit.written(whole.transform(kit.arrow(inner_links(n, percent), "of long, block long, set_id long, root long")), "roots")
+    links = [inside.where("root <> set_id").select(F.col("set_id").alias("a"), F.col("root").alias("b"))]
+    # Groups of several blocks; the others are done.
+    large = place.where("blocks > 1").drop("blocks")
+    if large.isEmpty():
+        return links[0]
+
+    def components() -> DataFrame:
+        known = kit.components(links[0] if len(links) == 1 else links[0].unionByName(links[1])).select(F.col("node").alias("set_id"), "component")
+        return kit.written(large.join(known, "set_id", "left").withColumn("component", F.coalesce("component", "set_id")), "places")
+
+    def held(asked: DataFrame, place: DataFrame) -> DataFrame:
+        """Links of queries: asked has of, block, set_id."""
+        asked = kit.written(asked, "asked")
+        parts = asked.groupBy("of", "block").agg(F.ceil(F.count("*") / F.lit(queries)).alias("parts"))
+        part = F.pmod(F.xxhash64("set_id"), "parts").alias("part")
+        asking = asked.join(parts, ["of", "block"]).select("of", "block", part, F.lit(True).alias("is_query"), "set_id")
+        members = lambda parts: parts.join(place.select("of", "block", "set_id"), ["of", "block"]).select("of", "block", "part", F.lit(False).alias("is_query"), "set_id")
+        rows = asking.unionByName(members(parts.withColumn("part", F.explode(F.expr("sequence(0L, parts - 1)")))))
+        bounded = blocked(rows.join(place.drop("of", "block"), "set_id").select(*KEYS, "is_query", "set_id", "component", "n_shingles", "core"))
+        opened = kit.written(bounded.transform(kit.arrow(ask(percent, from_cores, own=False), ASKED)).select(*KEYS, F.col("a").alias("set_id")).distinct(), "opened")
+        rows = opened.withColumn("is_query", F.lit(True)).unionByName(members(opened.select(*KEYS).distinct())).join(place.select("set_id", "doc_id", "component"), "set_id")
+        rows = blocked(rows.join(filtered(docs, rows), "doc_id").select(*KEYS, "is_query", "set_id", "component", "text"))
+        return kit.written(rows.transform(kit.arrow(ask(percent, from_texts(n), own=False), ASKED)).select("a", "b"), "links")
+
+    # One query for each component of a block against the group's first block: most of what is one component joins here.
+    known = components()
+    first = known.groupBy("of").agg(F.min("block").alias("low"))
+    some = known.groupBy("of", "block", "component").agg(F.min("set_id").alias("set_id")).join(first, "of").where("block <> low")
+    links.append(held(some.select("of", F.col("low").alias("block"), "set_id"), known))
+    # What is in another than the group's largest component asks all its blocks.
+    known = components()
+    size = known.groupBy("of", "component").agg(F.count("*").alias("size"))
+    most = size.groupBy("of").agg(F.max(F.struct("size", "component")).alias("most")).select("of", F.col("most.component").alias("largest"))
+    apart = known.join(most, "of").where("component <> largest").select("of", F.col("block").alias("own"), "set_id")
+    blocks = known.select("of", "block").distinct()
+    links.append(held(apart.join(blocks, "of").where("block <> own").select("of", "block", "set_id"), known))
+    return kit.written(links[0].unionByName(links[1]).unionByName(links[2]), "links")
 
 
 def filtered(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -461,18 +579,16 @@ def near_duplicates(docs: DataFrame, *, n: int = 3, percent: int = 90, block: in
     """doc_id, n_shingles and component_id (the smallest doc_id reachable by links) of each row of docs (doc_id, text)."""
     seen = kit.written(scan(docs, n), "sets")
     ids = kit.written(seen.where("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("doc_id")), "classes")
-    with kit.recorded() as made:
-        links = link_sets(docs, ids.where("doc_id is not null"), n=n, percent=percent, block=block, queries=queries)
-    for path in made[:-1]:  # the links were written last
-        kit.drop(docs.sparkSession, path)
-    # Rows that share a doc_id are one node: the classes they are in are linked.
-    same = seen.where("n_shingles > 0 and doc_id is not null").select("doc_id", "set_id").distinct().groupBy("doc_id").agg(F.min("set_id").alias("a"), F.max("set_id").alias("b")).where("a < b")
-    shared = seen.where("n_shingles > 0").select("doc_id", F.col("set_id").alias("b")).join(same.select("doc_id", "a"), "doc_id").select("a", "b").where("a <> b").distinct()
-    found = kit.components(links.unionByName(shared)).select(F.col("node").alias("set_id"), "component")
-    found = kit.written(found, "found")
-    low = found.join(ids, "set_id").groupBy("component").agg(F.min("doc_id").alias("low"))
+    links = link_sets(docs, ids.where("doc_id is not null"), n=n, percent=percent, block=block, queries=queries)
+    # Nodes are the least doc_id of each class, and any other doc_id whose rows are in several classes.
+    low = ids.where("doc_id is not null")
+    named = lambda c: low.select(F.col("set_id").alias(c), F.col("doc_id").alias(f"doc_{c}"))
+    linked = links.join(named("a"), "a").join(named("b"), "b").select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b"))
+    several = seen.where("n_shingles > 0 and doc_id is not null").groupBy("doc_id").agg(F.min("set_id").alias("lo"), F.max("set_id").alias("hi")).where("lo < hi").select("doc_id")
+    shared = seen.where("n_shingles > 0").join(several, "doc_id").select("set_id", F.col("doc_id").alias("a")).join(low, "set_id").select("a", F.col("doc_id").alias("b")).where("a <> b")
+    found = kit.components(linked.unionByName(shared))
     # Most classes have no link: they must not meet under a null component.
-    lower = found.join(low, "component").select("set_id", "low")
+    lower = low.join(found.select(F.col("node").alias("doc_id"), "component"), "doc_id").select("set_id", F.col("component").alias("low"))
     lows = ids.join(lower, "set_id", "left").select("set_id", F.coalesce("low", "doc_id").alias("component_id"))
     return (
         seen.select("doc_id", "n_shingles", "set_id")

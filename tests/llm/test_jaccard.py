@@ -5,6 +5,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from descra.llm import jaccard, kit
 
@@ -79,9 +80,10 @@ def test_repeated_ids_ties_and_empty(spark):
     assert sorted(r.doc_id for r in jaccard.deduplicate(df).collect()) == [1, 1, 4, 4]
 
 
-def test_components(spark):
+@pytest.mark.parametrize("few,neighbours", [(1 << 18, 1000), (0, 1000), (0, 7)])
+def test_components(spark, few, neighbours):
     r = random.Random(5)
-    edges = [(r.randrange(200), r.randrange(200)) for _ in range(150)] + [(1000, i) for i in range(300, 400)] + [(i, i + 1) for i in range(500, 560)]
+    edges = [(r.randrange(200), r.randrange(200)) for _ in range(150)] + [(1000, i) for i in range(300, 400)] + [(i, i + 1) for i in range(500, 530)]
     root = {}
 
     def find(x):
@@ -93,8 +95,18 @@ def test_components(spark):
     for a, b in edges:
         x, y = find(a), find(b)
         root[max(x, y)] = min(x, y)
-    got = dict(map(tuple, kit.components(spark.createDataFrame(edges, "a long, b long")).collect()))
-    assert got == {x: find(x) for a, b in edges if a != b for x in (a, b)}
+    df = spark.createDataFrame(edges + edges[:9] + [(None, 3)], "a long, b long")
+    got = kit.components(df, few=few, neighbours=neighbours).collect()
+    assert len(got) == len(set(got)) and dict(map(tuple, got)) == {x: find(x) for a, b in edges if a != b for x in (a, b)}
+    assert kit.components(df.limit(0), few=few).count() == 0
+
+
+def test_neighbours_of_a_hub_are_dealt_out(spark):
+    edges = spark.createDataFrame([(0, i) for i in range(1, 1001)] + [(5000, 5001)], "u long, v long")
+    got = kit.with_least(edges, 100, F.min("v"))
+    assert {(x.u, x.v, x.m) for x in got.collect()} == {(0, i, 1) for i in range(1, 1001)} | {(5000, 5001, 5001)}
+    salted = [x for x in got._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join Inner" in x and "salt" in x]
+    assert salted
 
 
 @pytest.mark.parametrize("size", [1, 2, 3, 7, 1000])
