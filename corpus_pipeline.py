@@ -6,59 +6,31 @@ of ``documents``.  The last returns a row for each packed piece, with its ids.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from functools import wraps
-
 from pyspark.sql import DataFrame, SparkSession
 
 from descra.llm import decontaminate, jaccard, kit, line_dedup, packing, toxicity
 
 
-Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-_LEFT: list[str] = []
-
-
-def stage(f: Stage) -> Stage:
-    """A stage starts when its predecessor's result has been written, so that one's intermediate tables can go."""
-
-    @wraps(f)
-    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        for path in _LEFT:
-            kit.drop(spark, path)
-        _LEFT.clear()
-        with kit.recorded() as made:
-            out = f(spark, docs, sf_dir)
-        _LEFT.extend(made)
-        return out
-
-    return run
-
-
-@stage
 def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score under 0.5, learned from the labels outside the held-out fold."""
     return toxicity.remove_toxic(docs, docs, kit.read(spark, sf_dir, "labels"))
 
 
-@stage
 def remove_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without passages that a document with a smaller doc_id has."""
     return line_dedup.deduplicate(docs)
 
 
-@stage
 def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by a Jaccard similarity of 0.8 or more of five-word shingles."""
     return jaccard.deduplicate(docs, n=5, percent=80)
 
 
-@stage
 def remove_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which benchmark windows cover less than a twentieth."""
     return decontaminate.decontaminate(docs, kit.read(spark, sf_dir, "benchmark"))
 
 
-@stage
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, piece, start, length, ids, sequence_id, offset of every piece."""
     return packing.place(packing.pieces(docs))
@@ -77,7 +49,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = kit.read(spark, sf_dir, "documents")
+    docs, before = kit.read(spark, sf_dir, "documents"), None
     for name, step in STAGES:
-        docs = kit.written(step(spark, docs, sf_dir), f"stage-{name}")
+        with kit.recorded() as made:
+            docs = kit.written(step(spark, docs, sf_dir), f"stage-{name}")
+        # What the stage wrote last is its result; its own tables, and its predecessor's result, are not needed any more.
+        for path in made[:-1] + ([before] if before else []):
+            kit.drop(spark, path)
+        before = made[-1]
     return docs
