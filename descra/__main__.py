@@ -1,4 +1,4 @@
-"""validate SETTINGS | run SETTINGS [--output DIR] [--resume] [--techniques A,B] [--no-final-model] | resume SETTINGS"""
+"""validate SETTINGS | run SETTINGS [--output DIR] [--resume] [--techniques A,B] [--cv-mode nested|flat] [--enable-automl | --disable-automl] [--no-final-model] | resume SETTINGS"""
 
 from __future__ import annotations
 
@@ -18,6 +18,9 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--resume", action="store_true")
     p.add_argument("--techniques")
     p.add_argument("--no-final-model", action="store_true")
+    p.add_argument("--cv-mode", choices=manifest.CV)
+    p.add_argument("--enable-automl", dest="automl", action="store_true", default=None)
+    p.add_argument("--disable-automl", dest="automl", action="store_false")
     a = p.parse_args(argv)
     try:
         with open(a.settings) as f:
@@ -31,6 +34,10 @@ def main(argv: list[str] | None = None) -> int:
         print(e, file=sys.stderr)
         return 2
     m = replace(m, run=replace(m.run, output=a.output or m.run.output, resume=a.resume or a.command == "resume" or m.run.resume))
+    if a.cv_mode:
+        m = replace(m, automl=replace(m.automl, cv=a.cv_mode))
+    if a.automl is not None:
+        m = replace(m, automl=replace(m.automl, enabled=a.automl))
     if a.no_final_model:
         m = replace(m, automl=replace(m.automl, final_model=False))
     print(" -> ".join(m.stages()), m.digest()[:12])

@@ -16,16 +16,20 @@ KYTE_DOOLITTLE = {
     "ILE": 4.5, "VAL": 4.2, "LEU": 3.8, "PHE": 2.8, "CYS": 2.5, "MET": 1.9, "ALA": 1.8, "GLY": -0.4, "THR": -0.7, "SER": -0.8,
     "TRP": -0.9, "TYR": -1.3, "PRO": -1.6, "HIS": -3.2, "GLU": -3.5, "GLN": -3.5, "ASP": -3.5, "ASN": -3.5, "LYS": -3.9, "ARG": -4.5,
 }
-ONE_LETTER = dict(zip("ALA ARG ASN ASP CYS GLN GLU GLY HIS ILE LEU LYS MET PHE PRO SER THR TRP TYR VAL".split(), "ARNDCQEGHILKMFPSTWYV"))
+ONE_LETTER = {
+    "ALA": "A", "ARG": "R", "ASN": "N", "ASP": "D", "CYS": "C", "GLN": "Q", "GLU": "E", "GLY": "G", "HIS": "H", "ILE": "I",
+    "LEU": "L", "LYS": "K", "MET": "M", "PHE": "F", "PRO": "P", "SER": "S", "THR": "T", "TRP": "W", "TYR": "Y", "VAL": "V",
+}
 ACIDS, BASES = ("ASP", "GLU", "CYS", "TYR", "C-"), ("ARG", "LYS", "HIS", "N+")
 AROMATIC, NONPOLAR = ("PHE", "TYR", "TRP", "HIS"), ("VAL", "LEU", "ILE", "MET", "PHE", "TRP", "TYR", "CYS")
 CDR_RANGES = ((27, 38), (56, 65), (105, 117))
 EXPOSED, CHARGED, VICINITY, SALT_BRIDGE, HBOND, HBOND_COSINE, BACKBONE_APART = 0.20, 0.05, 5.0, 4.0, 3.2, 0.5, 3
 CLUSTERING = {"neg": (10.0, 2), "pos": (10.0, 2), "hyd": (5.0, 3)}
 SHELLS, NULL_DRAWS = ((4.0, 3.0), (7.0, 3.0)), 3000
-POSITIVE_ATOMS = (("LYS", "NZ"), ("ARG", "NH1"), ("ARG", "NH2"), ("ARG", "NE"), ("HIS", "ND1"), ("HIS", "NE2"))
-NEGATIVE_ATOMS = (("ASP", "OD1"), ("ASP", "OD2"), ("GLU", "OE1"), ("GLU", "OE2"))
-#: (atom, residue): base atom and hydrogen bonds it can give; (atom, residue): bonds it can take.
+#: Fixed values, (atom, residue) as below: charged ends of side chains that make salt bridges.
+POSITIVE_ATOMS = (("NH1", "ARG"), ("NH2", "ARG"), ("NZ", "LYS"), ("ND1", "HIS"), ("NE2", "HIS"))
+NEGATIVE_ATOMS = (("OD1", "ASP"), ("OD2", "ASP"), ("OE1", "GLU"), ("OE2", "GLU"))
+#: Fixed values, (atom, residue): base atom and hydrogen bonds it can give; (atom, residue): bonds it can take.
 DONORS = {
     ("NE2", "GLN"): ("CD", 2), ("ND2", "ASN"): ("CG", 2), ("NE", "ARG"): ("CZ", 1), ("NH1", "ARG"): ("CZ", 2), ("NH2", "ARG"): ("CZ", 2), ("NZ", "LYS"): ("CE", 3),
     ("ND1", "HIS"): ("CG", 1), ("NE2", "HIS"): ("CD2", 1), ("OG", "SER"): ("CB", 1), ("OG1", "THR"): ("CB", 1), ("OH", "TYR"): ("CZ", 1), ("NE1", "TRP"): ("CD1", 1),

@@ -155,6 +155,8 @@ def hydrogen_bonds(donors: list[dict], acceptors: list[dict]) -> list[tuple[int,
     at = np.array([x["xyz"] for x in acceptors], float)
     left, out = [x["capacity"] for x in acceptors], []
     for i, d in enumerate(donors):
+        if d["base"] is None:
+            continue  # no angle, no bond
         mine = d["capacity"]
         away = at - np.array(d["xyz"], float)
         for j in np.flatnonzero((away**2).sum(1) <= ch.HBOND**2):
@@ -165,12 +167,11 @@ def hydrogen_bonds(donors: list[dict], acceptors: list[dict]) -> list[tuple[int,
                 continue
             if d["backbone"] and a["backbone"] and d["chain"] == a["chain"] and abs(d["seq_idx"] - a["seq_idx"]) < ch.BACKBONE_APART:
                 continue
-            if d["base"] is not None:
-                # The angle at the donor must be 120 degrees or more.
-                back = np.array(d["base"], float) - np.array(d["xyz"], float)
-                dot = float(back @ away[j])
-                if dot > 0 or dot * dot < ch.HBOND_COSINE**2 * float(back @ back) * float(away[j] @ away[j]):
-                    continue
+            # The angle at the donor must be 120 degrees or more.
+            back = np.array(d["base"], float) - np.array(d["xyz"], float)
+            dot = float(back @ away[j])
+            if dot > 0 or dot * dot < ch.HBOND_COSINE**2 * float(back @ back) * float(away[j] @ away[j]):
+                continue
             mine -= 1
             left[j] -= 1
             out.append((i, int(j)))

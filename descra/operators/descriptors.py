@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from descra.functions import chemistry as ch
 from descra.functions.scalars import motif_count, shell_name
-from descra.operators import clusters, residues, spatial
+from descra.operators import clusters, joins, residues, spatial
 from descra.operators.residues import KEY
 from descra.sources.structures import ca
 
@@ -102,7 +102,7 @@ def aggregation_shell(atoms: DataFrame, res: DataFrame, radius: float = 10.0) ->
 def salt_bridges(atoms: DataFrame, res: DataFrame) -> DataFrame:
     """Pairs (positive, negative residue) with charged atoms in reach."""
     own = atoms.join(res.select(*KEY, "is_pos", "is_neg"), KEY)
-    side = lambda some: F.concat_ws(" ", "resname", "name").isin(*[" ".join(x) for x in some])
+    side = lambda some: F.concat_ws(" ", "name", "resname").isin(*[" ".join(x) for x in some])
     pos, neg = own.where(F.col("is_pos") & side(ch.POSITIVE_ATOMS)), own.where(F.col("is_neg") & side(ch.NEGATIVE_ATOMS))
     pairs = spatial.radius_join(pos.select(*KEY, "x", "y", "z"), neg.select(*KEY, "x", "y", "z"), [ID], ch.SALT_BRIDGE)
     return pairs.select(*KEY, *[f"to_{k}" for k in KEY[1:]]).distinct()
@@ -170,7 +170,9 @@ def residue_table(atoms: DataFrame, sasa: DataFrame, pka: DataFrame, ph: float =
     res = residues.residues(atoms)
     near = spatial.vicinity(heavy(atoms).select(*KEY, "x", "y", "z"), [ID], KEY[1:], ch.in_cdr(F.col("resnum")), ch.VICINITY).withColumn("_near", F.lit(True))
     areas = [c for c in sasa.columns if c not in KEY]
-    out = res.join(sasa.select(*KEY, *areas, F.lit(True).alias("has_sasa")), KEY, "left").join(complete_pka(atoms, res, pka).where(~F.col("resname").isin("N+", "C-")), KEY, "left").join(near, KEY, "left")
+    # Tools may leave an insertion code out: its residue then has the values of the plain number.
+    area = joins.or_without_code(res, sasa.select(*KEY, *areas, F.lit(True).alias("has_sasa")), KEY, "icode")
+    out = joins.or_without_code(area, complete_pka(atoms, res, pka).where(~F.col("resname").isin("N+", "C-")), KEY, "icode").join(near, KEY, "left")
     charge = ch.fractional_charge(F.col("resname"), F.col("pka"), ph)
     return out.withColumns({"charge": charge, "cdr": ch.in_cdr(F.col("resnum")), "vic": F.coalesce("_near", F.lit(False)), "exposed": F.coalesce(F.col("side_rel") > ch.EXPOSED, F.lit(False)), "has_sasa": F.coalesce("has_sasa", F.lit(False))}).withColumns(
         {"is_aro": F.col("resname").isin(*ch.AROMATIC), "is_neg": F.col("charge") < -ch.CHARGED, "is_pos": F.col("charge") > ch.CHARGED, "is_hyd": F.col("resname").isin(*ch.NONPOLAR), "class": ch.charge_class(F.col("charge"), F.col("resname"))}
@@ -181,13 +183,14 @@ def residue_sums(res: DataFrame) -> DataFrame:
     """Every descriptor that is one sum, count or mean over the residue table, in one grouping."""
     area, rel = F.coalesce("side_abs", F.lit(0.0)), F.coalesce("side_rel", F.lit(0.0)) * 100
     total = lambda value, *on: F.coalesce(F.sum(F.when(_all(on), value)), F.lit(0.0))
-    share = lambda *on: F.count_if(_all((F.col("cdr"), *on))) / F.count_if(F.col("cdr"))
+    # A structure without residues in the binding loops has fractions and a mean of 0.
+    share = lambda *on: F.coalesce(F.try_divide(F.count_if(_all((F.col("cdr"), *on))), F.count_if(F.col("cdr"))), F.lit(0.0))
     is_ = lambda c: F.col(f"is_{c}")
     out = [total(area, is_(c), F.col("exposed")).alias(f"{c}_exposed_sasa") for c in CLASSES] + [total(area, is_(c)).alias(f"{c}_all_sasa") for c in CLASSES]
     out += [total(area, is_(c), F.col("exposed"), F.col("vic")).alias(f"{c}_sasa_cdr") for c in ("aro", "neg", "pos")]
     out += [total(rel, is_(c), F.col("exposed"), F.col("vic")).alias(f"{c}_exposure_cdr") for c in CLASSES]
     out += [
-        F.avg(F.when(F.col("vic") & F.col("has_sasa"), ch.hydrophobicity(F.col("resname")) * F.coalesce("side_rel", F.lit(0.0)))).alias("exposure_weighted_hyd_score_cdr"),
+        F.coalesce(F.avg(F.when(F.col("vic") & F.col("has_sasa"), ch.hydrophobicity(F.col("resname")) * F.coalesce("side_rel", F.lit(0.0)))), F.lit(0.0)).alias("exposure_weighted_hyd_score_cdr"),
         total(ch.hydrophobicity(F.col("resname")), F.col("has_sasa")).alias("hyd_score"),
         F.count_if(F.col("resnum").between(*ch.CDR_RANGES[2])).alias("cdr3_length"),
         share(F.col("resname") == "GLY").alias("fraction_gly_in_cdr"),

@@ -46,6 +46,19 @@ def repaired(left: DataFrame, right: DataFrame, exact: list[str], code: str, val
     return out.withColumn(value, F.coalesce("_exact", fallback)).drop("_exact", "_n", "_plain", "_only")
 
 
+def or_without_code(left: DataFrame, right: DataFrame, keys: list[str], code: str) -> DataFrame:
+    """left with the columns of right's row of equal keys, one a key; where there is none, of the row whose code is ''.
+
+    Keys that compare equal include the code, which is '' for none and never null.
+    """
+    values = [c for c in right.columns if c not in keys]
+    found = F.struct(*[F.col(c) for c in values])
+    exact = right.select(*keys, found.alias("_exact"))
+    plain = right.where(F.col(code) == "").select(*[k for k in keys if k != code], found.alias("_plain"))
+    out = left.join(exact, keys, "left").join(plain, [k for k in keys if k != code], "left").withColumn("_hit", F.coalesce("_exact", "_plain"))
+    return out.select(*left.columns, *[F.col("_hit")[c].alias(c) for c in values])
+
+
 def translated(values: DataFrame, mapping: DataFrame, keys: list[str], order: str) -> DataFrame:
     """Values under the keys that the mapping leads to (key columns old_* to the plain ones), the first in order for each."""
     moved = values.join(mapping, [values[k] == mapping[f"old_{k}"] for k in keys], "left")

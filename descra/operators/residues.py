@@ -62,11 +62,15 @@ def collisions(res: DataFrame) -> DataFrame:
 
 
 def spare_numbers(res: DataFrame) -> DataFrame:
-    """old_* and new_* keys that give residues with an insertion code in a collision a number of the chain's spare pool."""
+    """old_* and new_* keys that give residues with an insertion code in a collision a number of the chain's spare pool.
+
+    A chain with more of them than the 99 numbers of its pool is an error.
+    """
     pool = F.when(F.col("chain") == "H", 901).when(F.col("chain") == "L", 801).otherwise(701)
     hit = res.where("icode <> ''").join(collisions(res).select("structure_id", "chain", "resnum"), ["structure_id", "chain", "resnum"], "left_semi")
     place = F.row_number().over(Window.partitionBy("structure_id", "chain").orderBy("seq_idx")) - 1
-    return hit.withColumn("_i", place).where("_i < 99").select(*[F.col(k).alias(f"old_{k}") for k in KEY], "structure_id", "chain", (pool + F.col("_i")).alias("new_resnum"), F.lit("").alias("new_icode"), F.col("resname").alias("new_resname"))
+    number = F.when(F.col("_i") < 99, F.col("_i")).otherwise(F.raise_error(F.format_string("%s %s: more than 99 insertion codes in collisions", "structure_id", "chain")).cast("int"))
+    return hit.withColumn("_i", place).withColumn("_i", number).select(*[F.col(k).alias(f"old_{k}") for k in KEY], "structure_id", "chain", (pool + F.col("_i")).alias("new_resnum"), F.lit("").alias("new_icode"), F.col("resname").alias("new_resname"))
 
 
 def peptide_bonds(atoms: DataFrame, res: DataFrame, low: float = 1.0, high: float = 2.0) -> DataFrame:

@@ -219,7 +219,7 @@ def prune_clusters(names: list[str], pairs: list[tuple[str, str, float | None]],
 
 
 def target_screen(df: DataFrame, features: list[str], target: str, most_q: float = 0.05, least_r: float = 0.0) -> DataFrame:
-    """feature, r, n, p, q of features whose rank correlation with the target holds after adjustment, strongest first."""
+    """feature, r, n, p, q of features whose rank correlation with the target holds after adjustment (q below most_q), strongest first."""
     spark = df.sparkSession
     parts = None
     for f in features:
@@ -227,4 +227,4 @@ def target_screen(df: DataFrame, features: list[str], target: str, most_q: float
         parts = one if parts is None else parts.unionByName(one)
     rows = [(r.feature, r.r, r.n, p_value(r.r, r.n)) for r in parts.collect()]  # a row for each feature
     table = spark.createDataFrame(rows, "feature string, r double, n long, p double")
-    return benjamini_hochberg(table, [], "p").where((F.col("q") <= most_q) & (F.abs("r") >= least_r)).orderBy(F.desc(F.abs("r")), "feature")
+    return benjamini_hochberg(table, [], "p").where((F.col("q") < most_q) & (F.abs("r") >= least_r)).orderBy(F.desc(F.abs("r")), "feature")

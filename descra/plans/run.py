@@ -32,15 +32,21 @@ class Log:
         sinks.put_json(spark, f"{path}/summary.json", {"failed": self.failed(), "events": len(self.events)})
 
 
-def describe(spark: SparkSession, m: Manifest) -> DataFrame:
-    """name and descriptors of every structure, rounded and written."""
+def describe(spark: SparkSession, m: Manifest, log: Log) -> DataFrame:
+    """name and descriptors of every structure, rounded and written; a structure without terminal pKa values fails."""
     atoms = structures.read_structures(spark, m.inputs.structures)
     if m.descriptors.skip_unrefined:
         atoms = atoms.join(residues.unrefined(atoms).where("not all_zero").select("structure_id"), "structure_id", "left_semi")
     sasa, _ = tools.read_sasa(spark, m.inputs.tools)
     totals = sasa_totals(spark, m.inputs.tools)
+    pka = tools.read_pka(spark, m.inputs.tools)
+    # A charge without the pKa values of both ends of every chain would be wrong.
+    ends = descriptors.missing_termini(residues.residues(atoms), pka)
+    for r in ends.collect():  # violations
+        log.add("describe", "failed", structure=r.key, reason=f"chain {r.detail}: {r.rule}")
+    atoms = atoms.join(ends.select(F.col("key").alias("structure_id")).distinct(), "structure_id", "left_anti")
     library = tools.charge_table(spark, tools.charge_library(sinks.get_text(spark, m.inputs.charge_library)))
-    wide = descriptors.describe(atoms, sasa, tools.read_pka(spark, m.inputs.tools), tools.read_dssp(spark, m.inputs.tools), totals, library)
+    wide = descriptors.describe(atoms, sasa, pka, tools.read_dssp(spark, m.inputs.tools), totals, library)
     sinks.rounded(wide.withColumnRenamed("structure_id", "name")).write.mode("overwrite").parquet(f"{m.run.output}/descriptors")
     return spark.read.parquet(f"{m.run.output}/descriptors")
 
@@ -66,11 +72,6 @@ def prepare(assay: DataFrame, wide: DataFrame, m: Manifest) -> tuple[dict[int, D
     features = columns.included(own, list(m.descriptors.features)) if m.descriptors.features else own
     table = columns.standardize(merged, "name", targets, features)
     features = [columns.normal_feature(f) for f in features]
-    kinds = dict(table.dtypes)
-    text = [f for f in features if kinds[f] == "string"]
-    if text:
-        table = folds.one_hot(table, text, F.lit(True))
-        features = [c for c in table.columns if c in features or any(c.startswith(f"{t}__") for t in text)]
     kind, seeds = folds.resolve_split(m.automl.split_randomly, assay.columns)
     spark = assay.sparkSession
     rows = table.select("name", *([c for c in ("heavy", "light", "fold") if c in table.columns])).orderBy("name").collect()  # an assay table is small
@@ -94,7 +95,7 @@ def run(spark: SparkSession, m: Manifest) -> Log:
     try:
         log.add("read", "started")
         assay = tables.read_assay(spark, m.inputs.assays)
-        wide = describe(spark, m) if "describe" in m.stages() else read_descriptors(spark, m.inputs.descriptors)
+        wide = describe(spark, m, log) if "describe" in m.stages() else read_descriptors(spark, m.inputs.descriptors)
         if "cross_validate" in m.stages():
             whole = validate.absent(assay, wide, "name")
             gone = whole.collect()
@@ -135,10 +136,12 @@ def train_seed(spark: SparkSession, m: Manifest, table: DataFrame, targets: list
     done = spark.read.parquet(f"{out}/results") if m.run.resume and sinks.exists(spark, f"{out}/results") else None
     if done is not None and "seed" not in done.columns:
         raise ValueError("finished results have no seed: run anew")
-    found = crossval.cross_validate(table, targets, features, known, done, seed)
+    found = crossval.cross_validate(table, targets, features, known, done, seed, m.automl.cv == "flat")
     found.write.mode("append" if m.run.resume else "overwrite").parquet(f"{out}/results")
     results_ = spark.read.parquet(f"{out}/results").where("error is null")
-    for r in spark.read.parquet(f"{out}/results").where("error is not null").select("task_id", "error").collect():
+    # A task that failed in an earlier run and has ended since has not failed; one that failed again is told once.
+    failed = spark.read.parquet(f"{out}/results").where("error is not null").join(results_.select("task_id"), "task_id", "left_anti")
+    for r in failed.groupBy("task_id").agg(F.first("error").alias("error")).collect():
         log.add("cross_validate", "failed", task=r.task_id, reason=r.error)
     sinks.write_run(results_, out)
     log.add("cross_validate", "ended", seed=seed, tasks=results_.count())
@@ -147,6 +150,9 @@ def train_seed(spark: SparkSession, m: Manifest, table: DataFrame, targets: list
 
 
 def final_models(spark: SparkSession, table: pd.DataFrame, found: DataFrame, features: list[str], known: dict, out: str, log: Log) -> None:
+    if found.where("inner_pooled_spearman is null").select("target_col", "technique").distinct().groupBy("target_col").count().where("count > 1").count():
+        log.add("final_models", "failed", reason="flat cross-validation has no inner scores to choose a technique by: name one technique")
+        return
     chosen = selection.deployed_technique(found).join(selection.refit_settings(found, ["eval_model", "alpha", "l1_ratio"]), ["target_col", "technique"])
     index = []
     for r in chosen.collect():  # a row a target

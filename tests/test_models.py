@@ -147,3 +147,59 @@ def test_registered_cross_validation_runs_every_technique(spark, monkeypatch):
     monkeypatch.setattr(crossval, "cross_validate", lambda *a, **k: asked.append((a[3:], k)) or real(*a, **k))
     found = catalog.cross_validated_models(spark, sf)
     assert asked == [((), {})] and {"inner_pooled_spearman", "spearman", "pearson", "r2", "mse"} <= set(found.columns)
+
+
+def test_levels_of_text_come_from_the_training_rows_alone(spark):
+    t = table().assign(kind=["a" if k % 3 else "only in fold 0" for k in range(30)])
+    t.loc[4, "kind"] = None
+    x, names = crossval.design(t, ["f0", "kind"], ["kind"], np.flatnonzero(t.fold != 0))
+    assert names == ["f0", "kind__a", "kind__NaN"] and x[t.fold == 0, 1:].sum() == 0 and x[4].tolist()[1:] == [0.0, 1.0]
+    rows = crossval.cross_validate(spark.createDataFrame(t), ["target_y"], ["f0", "f1", "kind"], SMALL[:1]).collect()
+    assert all(r.error is None for r in rows) and not any("only" in i.feature for r in rows if r.outer_fold == 0 for i in r.importance)
+    assert any("only" in i.feature for r in rows if r.outer_fold == 1 for i in r.importance)
+    # The final model takes the text itself.
+    t["target_y"] += 9.0 * (t.kind == "a")
+    m = json.loads(json.dumps(crossval.refit(t, "target_y", SMALL[1], "linear", {}, ["f0", "f1", "kind"])))
+    assert any(c.startswith("kind__") for c in m["features"])
+    got = crossval.predict(m, spark.createDataFrame(t.drop(columns="target_y"))).toPandas()
+    low, width, coef = (np.array(m[k] if k != "coef" else m["model"]["coef"]) for k in ("low", "width", "coef"))
+    own = np.stack([t[c].to_numpy(float) if c in t else (t.kind.isna() if c == "kind__NaN" else t.kind == c[6:]).to_numpy(float) for c in m["features"]], 1)
+    assert got.prediction.to_numpy() == pytest.approx(((own - low) / width) @ coef + m["model"]["intercept"])
+
+
+def test_flat_cross_validation_has_no_inner_scores(spark, tmp_path):
+    df, features = spark.createDataFrame(table()), [f"f{k}" for k in range(5)]
+    rows = crossval.cross_validate(df, ["target_y"], features, SMALL, flat=True).collect()
+    assert len(rows) == 6 and all(r.error is None and r.inner_pooled_spearman is None and r.spearman > 0.8 for r in rows)
+    assert {r.eval_model for r in rows if r.technique == "sfs_svm"} == {"linear"}
+    t = table()
+    grid = crossval.candidates(SMALL[0])
+    for r in (r for r in rows if r.technique == "elasticnet"):
+        x, y = t.loc[t.fold != r.outer_fold, features].to_numpy(), t.loc[t.fold != r.outer_fold, "target_y"].to_numpy()
+        z, error = (x - x.mean(0)) / x.std(0), []
+        for kind, settings in grid:
+            parts = [kernels.predict(kernels.fit(kind, np.delete(z, p, 0), np.delete(y, p), **settings), z[p]) - y[p] for p in np.array_split(np.arange(len(y)), 5)]
+            error.append(np.mean([(p**2).mean() for p in parts]))
+        assert r.alpha == grid[int(np.argmin(error))][1]["alpha"]
+    # One technique is deployed; of several none can be chosen.
+    for some, fails in ((["elasticnet"], False), (["elasticnet", "intercorr_svm"], True)):
+        settings = {"inputs": {"assays": "a", "descriptors": "d"}, "run": {"output": f"file://{tmp_path}/{fails}"}, "automl": {"techniques": some, "cv": "flat"}}
+        log = plan.Log()
+        plan.train(spark, manifest.parse(settings), spark.createDataFrame(t[["name", "target_y", "fold"]].assign(heavy=["A" * (k + 1) for k in range(30)], light="C")), spark.createDataFrame(t[["name", *features]]), log)
+        assert log.failed() == fails, log.events
+
+
+def test_a_task_that_ends_on_resume_has_not_failed(spark, tmp_path, monkeypatch):
+    t = table()
+    assay, wide = spark.createDataFrame(t[["name", "target_y", "fold"]].assign(heavy=["A" * (k + 1) for k in range(30)], light="C")), spark.createDataFrame(t[["name", "f0", "f1"]])
+    settings = {"inputs": {"assays": "a", "descriptors": "d"}, "run": {"output": f"file://{tmp_path}/out"}, "automl": {"techniques": ["elasticnet"], "final_model": False}}
+    real = crossval.run_task
+    monkeypatch.setattr(crossval, "run_task", lambda table, technique, outer, *a: 1 / 0 if outer == 1 else real(table, technique, outer, *a))
+    log = plan.Log()
+    plan.train(spark, manifest.parse(settings), assay, wide, log)
+    assert [e["task"].split("|")[-1] for e in log.events if e["event"] == "failed"] == ["1"]
+    monkeypatch.setattr(crossval, "run_task", real)
+    settings["run"]["resume"] = True
+    log = plan.Log()
+    plan.train(spark, manifest.parse(settings), assay, wide, log)
+    assert not log.failed() and log.events[-1]["tasks"] == 3

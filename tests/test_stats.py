@@ -146,3 +146,22 @@ def test_hydrogen_bonds_are_greedy():
     donors = [item(0.0, 0, 1, (-1.0, 0.0, 0.0)), item(0.5, 1, 2, (1.5, 0.0, 0.0))]
     acceptors = [item(3.0, 5, 1), item(2.0, 6, 1), item(-2.0, 7, 1)]
     assert clusters.hydrogen_bonds(donors, acceptors) == [(0, 0), (1, 2)]
+
+
+def test_a_donor_without_its_base_atom_bonds_with_nothing():
+    item = lambda x, n, base=None: {"xyz": (x, 0.0, 0.0), "base": base, "capacity": 1, "residue": n, "chain": "H", "seq_idx": 4 * n, "backbone": True}
+    assert clusters.hydrogen_bonds([item(0.0, 0)], [item(2.0, 1)]) == []
+    assert clusters.hydrogen_bonds([item(0.0, 0), item(0.0, 2, (-1.0, 0.0, 0.0))], [item(2.0, 1)]) == [(1, 0)]
+
+
+def test_values_without_an_insertion_code(spark):
+    left = spark.createDataFrame([("s", "H", 100, "", "GLY"), ("s", "H", 100, "A", "GLY"), ("s", "H", 100, "B", "ALA"), ("s", "H", 7, "A", "TYR")], "s string, chain string, resnum int, icode string, resname string")
+    right = spark.createDataFrame([("s", "H", 100, "", "GLY", 1.0), ("s", "H", 100, "B", "ALA", 2.0), ("s", "H", 7, "B", "TYR", 3.0)], "s string, chain string, resnum int, icode string, resname string, v double")
+    got = joins.or_without_code(left, right, ["s", "chain", "resnum", "icode", "resname"], "icode")
+    assert {(r.resnum, r.icode): r.v for r in got.collect()} == {(100, ""): 1.0, (100, "A"): 1.0, (100, "B"): 2.0, (7, "A"): None}
+
+
+def test_the_screen_leaves_out_a_q_of_exactly_the_bound(spark):
+    df = spark.createDataFrame([(float(k), float(k % 7), k + (k % 3) * 2.0) for k in range(30)], "a double, b double, t double")
+    q = {r.feature: r.q for r in stats.target_screen(df, ["a", "b"], "t", most_q=2.0).collect()}
+    assert {r.feature for r in stats.target_screen(df, ["a", "b"], "t", most_q=q["b"]).collect()} == {f for f in q if q[f] < q["b"]}

@@ -302,3 +302,32 @@ def test_geometry_checks(spark):
     df = spark.createDataFrame(rows, ATOMS)
     got = {r.resnum: (round(r.length, 3), r.ok) for r in residues.peptide_bonds(df, residues.residues(df)).collect()}
     assert got == {1: (1.3, True), 2: (6.0, False)}
+
+
+def test_a_structure_without_binding_loops_has_fractions_of_zero(spark):
+    rows = [("s", "H", n, "", "GLY", n, 1.0, 0.5, True, False, False, False, False, False, True) for n in (1, 2, 3)]
+    res = spark.createDataFrame(rows, "structure_id string, chain string, resnum int, icode string, resname string, seq_idx int, side_abs double, side_rel double, has_sasa boolean, is_aro boolean, is_neg boolean, is_pos boolean, is_hyd boolean, vic boolean, exposed boolean")
+    one = de.residue_sums(res.withColumn("cdr", ch.in_cdr(F.col("resnum")))).first()
+    assert one.fraction_gly_in_cdr == 0.0 and one.exposure_weighted_hyd_score_cdr == 0.0 and one.cdr3_length == 0
+
+
+def test_salt_bridges_by_hand(spark):
+    # A lysine's NZ and an arginine's NH1 near one aspartate; the arginine's NE, nearer to a glutamate, is no charged end.
+    at = lambda i, name, resname, resnum, x: ("s", 1, i, name, resname, "H", resnum, "", float(x), 0.0, 0.0)
+    atoms = spark.createDataFrame([at(1, "NZ", "LYS", 1, 0), at(2, "OD1", "ASP", 2, 3), at(3, "NH1", "ARG", 3, 6.5), at(4, "NE", "ARG", 3, 20), at(5, "OE1", "GLU", 4, 22)], "structure_id string, model int, serial int, name string, resname string, chain string, resnum int, icode string, x double, y double, z double")
+    res = atoms.select("structure_id", "chain", "resnum", "icode", "resname", F.col("resname").isin("LYS", "ARG").alias("is_pos"), F.col("resname").isin("ASP", "GLU").alias("is_neg")).distinct()
+    assert {(r.resnum, r.to_resnum) for r in de.salt_bridges(atoms, res).collect()} == {(1, 2), (3, 2)}
+
+
+def test_more_collisions_than_spare_numbers_are_an_error(spark):
+    rows = [("s", "H", 5, "" if k == 0 else f"{k}", "GLY", k) for k in range(101)]
+    res = spark.createDataFrame(rows, "structure_id string, chain string, resnum int, icode string, resname string, seq_idx int")
+    assert residues.spare_numbers(res.where("seq_idx < 100")).count() == 99
+    with pytest.raises(Exception, match="more than 99"):
+        residues.spare_numbers(res).collect()
+
+
+def test_a_chain_without_a_terminal_value_is_told(spark, atoms):
+    values = spark.createDataFrame(pka(molecule()), PKA).where("not (chain = 'H' and resname = 'N+')")
+    got = de.missing_termini(residues.residues(atoms.where("structure_id = 's1'")), values).collect()
+    assert [(r.key, r.detail, r.rule) for r in got] == [("s1", "H", "no N+")]
