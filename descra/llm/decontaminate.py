@@ -12,9 +12,10 @@ test suffix matches no window and is left out, which changes no result.  Suffixe
 are sorted three words at a time, and only ties are refined.  Words are compared
 by 64-bit hash, and a hit needs a whole window of them.
 
-Benchmark items reach the tasks in blocks of at most ``block_bytes`` of text;
-where there are more, documents pass one block after the other and carry their
-hits along, so neither side must fit one machine.  Documents are never shuffled.
+Benchmark items reach the tasks in blocks of about ``block_bytes`` of text.
+Where there are more, documents pass one block after the other and carry their
+hits along in a written table, so the driver and a task hold one block at a time
+and neither side must fit one machine.  Documents are never shuffled.
 
 Defined results: null, empty and wordless texts have no words and no hits; an
 item with fewer words than a window is one window; items without words match
@@ -189,10 +190,18 @@ def report(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, share
     mine = [f"in_{i}" for i in range(len(docs.columns))]
     now = docs.toDF(*mine).withColumns({"n_words": F.lit(0), "hits": F.array().cast("array<struct<begin: int, end: int>>"), "matches": F.array().cast("array<struct<item_id: string, item_start: int, doc_start: int, n_words: int>>")})
     text = docs.columns.index("text")
+    last = None
     for b in range(blocks):
         block = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
-        rows = block.collect()  # at most about block_bytes
+        rows = block.collect()  # about block_bytes
         now = now.transform(kit.arrow(_pass(TestSuffixes([r.item_id for r in rows], [r.text for r in rows], window), text), now.schema))
+        if b < blocks - 1:
+            # Written, so that this block is gone before the next one comes.
+            with kit.recorded() as made:
+                now = kit.written(now, "passed")
+            if last:
+                kit.drop(spark, last)
+            last = made[0]
     n_hit = F.aggregate("hits", F.lit(0), lambda s, x: s + x.end - x.begin)
     found = F.struct(
         F.col("n_words").cast("long").alias("n_words"),

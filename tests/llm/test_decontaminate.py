@@ -75,3 +75,19 @@ def test_removes_rows_and_keeps_columns(spark):
     assert got.columns == df.columns and sorted(r.doc_id for r in got.collect()) == [2, 3]
     assert dc.decontaminate(df.limit(0), bench).count() == 0
     assert dc.decontaminate(df, bench.limit(0)).count() == 3
+
+
+def test_one_block_at_a_time(spark, monkeypatch):
+    # Many blocks: each pass holds its own items only, and the plan after a pass holds none of an earlier one.
+    r = random.Random(3)
+    vocabulary = [f"w{i}" for i in range(300)]
+    items = [(f"i{k}", " ".join(r.choice(vocabulary) for _ in range(30))) for k in range(12)]
+    docs = [(k, " ".join(r.choice(vocabulary) for _ in range(40)) + " " + items[k % 12][1] * (k % 2)) for k in range(24)]
+    docs_, bench = spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id string, text string")
+    whole = {(x.doc_id, x.report.n_hit, tuple(x.report["items"])) for x in dc.report(docs_, bench).collect()}
+    held, real = [], dc.TestSuffixes
+    monkeypatch.setattr(dc, "TestSuffixes", lambda ids, *a: held.append(len(ids)) or real(ids, *a))
+    out = dc.report(docs_, bench, block_bytes=600)
+    assert len(held) >= 4 and max(held) < 12 and sum(held) == 12
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    assert {(x.doc_id, x.report.n_hit, tuple(x.report["items"])) for x in out.collect()} == whole and sum(n > 0 for _, n, _ in whole) == 12
