@@ -6,8 +6,8 @@ words with digits and all names of the page's and article's own elements vary
 from page to page and stay out of it; an id is part of tokens of its element
 alone.  A token's occurrence vector is how often it occurs in
 each page of a host; tokens that share one form an equivalence class.  The
-vector is never gathered: an exclusive-or of hashes of (page, count), with the
-number of pages and of occurrences, identifies it, so classes come from two
+vector is never gathered: the sums of both halves of hashes of (page, count), with
+the number of pages and of occurrences, identify it (repeated rows add up), so classes come from two
 pre-aggregated groupings and a host with a third of all pages is no hot spot.
 
 Classes that are frequent (in at least ``support`` of a host's pages that have
@@ -247,7 +247,7 @@ def occurrences(pages: DataFrame) -> DataFrame:
 
 def classes(pages: DataFrame, *, support: float = SUPPORT) -> DataFrame:
     """host, pages (that have tokens), class (number of the occurrence vector), token, is_text: the tokens of each host's frequent classes."""
-    per_token = occurrences(pages).groupBy("host", "token", "is_text").agg(F.bit_xor("vector").alias("vector"), F.count("*").alias("pages_with"), F.sum("n").alias("total"))
+    per_token = occurrences(pages).groupBy("host", "token", "is_text").agg(F.xxhash64(F.sum(F.expr("vector & 4294967295")), F.sum(F.expr("shiftrightunsigned(vector, 32)"))).alias("vector"), F.count("*").alias("pages_with"), F.sum("n").alias("total"))
     # Both sides of the join read one table: what one page alone has, the most, is not in it.
     repeated = kit.written(per_token.where("pages_with >= 2"), "tokens")
     per_host = repeated.where("is_text is null").select("host", F.col("pages_with").alias("pages"))

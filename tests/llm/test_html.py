@@ -91,3 +91,28 @@ def test_one_support_at_every_size_of_host(spark):
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
     assert {r.page_id: r.text for r in ht.extract(df).collect()} == want
     assert {r.page_id: r.text for r in ht.extract(df, broadcast_bytes=0).collect()} == want
+
+
+def test_classes_of_repeated_pages_by_brute_force(spark):
+    # Tokens of different pages, each page present twice, are not one class.
+    html = {1: "<div><p>a</p><p>b</p><p>same</p></div>", 2: "<div><p>c</p><p>d</p><p>same</p></div>", 3: "<div><p>a</p><p>c</p><p>same</p></div>"}
+    rows = [(k, f"http://h/{k}", html[k]) for k in (1, 1, 2, 2, 3)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("'h' AS host", "xxhash64(page_id, url) AS page", "html")
+    got = {}
+    for r in ht.classes(pages, support=0.0).collect():
+        got.setdefault(r["class"], set()).add(r.token)
+    vectors = {}
+    for n, (k, _, text) in enumerate(rows):
+        for t, c in ht.page_tokens(text).items():
+            vectors.setdefault(t, {})[n] = c
+    want = {}
+    for t, v in vectors.items():
+        if len(v) > 1:
+            want.setdefault(tuple(sorted(v.items())), set()).add(ht.token_hash(t))
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+
+
+def test_headlines_in_headers_of_articles_stay(spark):
+    empty = ht.Template(None, None, 0)
+    for name in ("article-header", "header", "entry-header", "post-header"):
+        assert ht.main_text(f'<article><header class="{name}"><h1>Title</h1></header><p>body</p></article>', empty) == "Title\nbody"
