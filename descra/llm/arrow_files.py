@@ -4,7 +4,8 @@
 stream that is cut into sequences of equal length.  Each task owns a range of
 doc_id and writes one Arrow IPC file whose record batches hold
 ``ids: fixed_size_list<uint16|uint32>[L]`` and ``mask: fixed_size_list<bool>[L]``
-(a bit a token; false marks padding, which only a file's last sequence has),
+(a bit a token, an Arrow view but no numpy one; false marks padding, which only a
+file's last sequence has),
 beside an index file ``doc_id, offset, n_tokens``.  A memory-mapped or fetched file gives any sequence,
 mask or document as a view: batch ``i // rows``, row ``i % rows``, no copy.
 
@@ -13,8 +14,8 @@ retried or speculative task leaves one whole file.  The manifest (one row a
 file) is a written table.
 
 Defined results: null and empty texts are the end id alone; null doc_id sorts
-first; rows with equal doc_id are each a document, ordered by text; an empty
-table gives an empty manifest; further columns are ignored.
+first; rows with equal doc_id are each a document, ordered by a hash of the text and the
+text; an empty table gives an empty manifest; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -116,7 +117,7 @@ def write(docs: DataFrame, path: str, *, vocabulary: str | None = None, end_id:
     index_schema = pa.schema([("doc_id", pa.int64()), ("offset", pa.int64()), ("n_tokens", pa.int64())])
     manifest_schema = pa.schema([("file", pa.string()), ("first", pa.int64()), ("n_documents", pa.int64()), ("n_tokens", pa.int64()), ("n_sequences", pa.int64())])
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    dealt = docs.repartitionByRange(kit.partitions(docs), F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    dealt = docs.repartitionByRange(kit.partitions(docs), F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), "text")
     files = kit.written(dealt.transform(kit.arrow(put, MANIFEST.rpartition(",")[0])), "manifest")
     # One row a file: as many as there are tasks, whatever the number of documents.
     spark, rows_, start = docs.sparkSession, [], 0

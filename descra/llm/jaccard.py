@@ -52,7 +52,7 @@ from pyspark.sql import functions as F
 from descra.llm import kit, words
 from descra.llm.tokens import as_strings, slices
 
-SLICE_BYTES, BLOCK, BLOCK_SHINGLES, QUERIES, PREFIXES = 1 << 20, 512, 1 << 18, 1024, 1 << 20
+SLICE_BYTES, BLOCK, BLOCK_SHINGLES, QUERIES, PREFIXES, COPIES = 1 << 20, 512, 1 << 18, 1024, 1 << 20, 1000
 _U = np.uint64
 
 
@@ -578,7 +578,8 @@ def by_block_sorted(rows: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, *, n: int = 3, percent: int = 90, block: int = BLOCK, queries: int = QUERIES) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id reachable by links) of each row of docs (doc_id, text)."""
     seen = kit.written(scan(docs, n), "sets")
-    ids = kit.written(seen.where("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("doc_id")), "classes")
+    classes = kit.written(seen.where("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")), "classes")
+    ids = classes.select("set_id", "doc_id")
     links = link_sets(docs, ids.where("doc_id is not null"), n=n, percent=percent, block=block, queries=queries)
     # Nodes are the least doc_id of each class, and any other doc_id whose rows are in several classes.
     low = ids.where("doc_id is not null")
@@ -590,9 +591,16 @@ def near_duplicates(docs: DataFrame, *, n: int = 3, percent: int = 90, block: in
     # Most classes have no link: they must not meet under a null component.
     lower = low.join(found.select(F.col("node").alias("doc_id"), "component"), "doc_id").select("set_id", F.col("component").alias("low"))
     lows = ids.join(lower, "set_id", "left").select("set_id", F.coalesce("low", "doc_id").alias("component_id"))
+    # The copies of one class, which may be a third of all rows, are dealt to several tasks.
+    most = max(COPIES, seen.count() // 50_000)
+    many = classes.select("set_id", F.ceil(F.col("copies") / F.lit(most)).alias("salts"))
+    hubs = many.where("salts > 1")  # at most rows / most
+    lows = lows.join(many, "set_id").select("set_id", "component_id", F.explode(F.expr("sequence(0L, salts - 1)")).alias("salt"))
     return (
         seen.select("doc_id", "n_shingles", "set_id")
-        .join(lows, "set_id", "left")
+        .join(F.broadcast(hubs), "set_id", "left")
+        .withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.coalesce("salts", F.lit(1))))
+        .join(lows, ["set_id", "salt"], "left")
         .select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))).alias("component_id"))
     )
 
