@@ -99,6 +99,37 @@ def aggregation_shell(atoms: DataFrame, res: DataFrame, radius: float = 10.0) ->
     return own.groupBy(ID).agg(F.sum(w * F.col("aro")).alias("sap_aro_score"), F.sum(w * F.col("pos") * F.col("aro")).alias("sap_pos_aro_synergy"), F.sum(w * F.col("aro") * F.col("neg")).alias("sap_aro_neg_synergy"))
 
 
+def neighbour_score(
+    atoms: DataFrame, res: DataFrame, radius: float, source: str = "charge", *, weighted: bool = True, exposed: float = ch.EXPOSED, ionizable: bool = False, centre: str = "area", centre_by_area: bool = False, reduce: str = "neg_abs"
+) -> DataFrame:
+    """structure_id, score: what the residues within reach of each residue bring, times what the residue is.
+
+    source: charge, positive, negative, hydrophobicity or one; ``weighted`` by relative side area, else of exposed
+    residues only.  centre: area, charge, positive, negative, hydrophobicity or one, ``centre_by_area`` times the area.
+    ``ionizable``: only residues that have a charged end.  reduce: neg_abs (size of the sum of negative products),
+    pos_abs (sum of positive ones) or sum.  A structure without any such residue has no row.
+    """
+    kinds = {"charge": F.col("charge"), "positive": F.greatest("charge", F.lit(0.0)), "negative": F.least("charge", F.lit(0.0)), "hydrophobicity": ch.hydrophobicity(F.col("resname")), "one": F.lit(1.0), "area": F.col("area")}
+    reducers = {"neg_abs": F.abs(F.sum(F.least("p", F.lit(0.0)))), "pos_abs": F.sum(F.greatest("p", F.lit(0.0))), "sum": F.sum("p")}
+    if source not in kinds or source == "area" or centre not in kinds or reduce not in reducers:
+        raise ValueError(f"unknown source, centre or reduce: {source}, {centre}, {reduce}")
+    own = res.select(*KEY, "charge", F.coalesce("side_rel", F.lit(0.0)).alias("area"))
+    if ionizable:
+        ends = F.concat_ws(" ", "name", "resname").isin(*[" ".join(x) for x in ch.POSITIVE_ATOMS + ch.NEGATIVE_ATOMS])
+        own = own.join(atoms.where(ends).select(*KEY).distinct(), KEY, "left_semi")
+    brings = kinds[source] * F.col("area") if weighted else F.when(F.col("area") > exposed, kinds[source])
+    is_ = kinds[centre] * (F.col("area") if centre_by_area else F.lit(1.0))
+    own = own.select(*KEY, brings.alias("brings"), is_.alias("is"))
+    to = own.select(ID, *[F.col(k).alias(f"to_{k}") for k in KEY[1:]], "brings")
+    around = contacts(atoms, radius).join(to, [ID, *[f"to_{k}" for k in KEY[1:]]]).groupBy(*KEY).agg(F.sum("brings").alias("around"))
+    return own.join(around, KEY, "left").withColumn("p", F.coalesce("around", F.lit(0.0)) * F.col("is")).groupBy(ID).agg(reducers[reduce].alias("score"))
+
+
+def residue_charge_map(atoms: DataFrame, res: DataFrame, radius: float = 10.0, reduce: str = "neg_abs") -> DataFrame:
+    """structure_id, score: the spatial charge map over residues with a charged end, charges from pKa values."""
+    return neighbour_score(atoms, res, radius, "charge", ionizable=True, centre="area", reduce=reduce)
+
+
 def salt_bridges(atoms: DataFrame, res: DataFrame) -> DataFrame:
     """Pairs (positive, negative residue) with charged atoms in reach."""
     own = atoms.join(res.select(*KEY, "is_pos", "is_neg"), KEY)

@@ -266,6 +266,25 @@ def stability(x: np.ndarray, y: np.ndarray, n: int | None = None, share: float |
     return hits / n
 
 
+def most_stable(x: np.ndarray, y: np.ndarray, n: int, draws: int = 50) -> list[int]:
+    """The n columns that subsamples choose most often, most first; the earlier column in a tie."""
+    return np.argsort(-stability(x, y, draws), kind="stable")[: max(1, min(n, x.shape[1]))].tolist()
+
+
+def strongest(kind: str, x: np.ndarray, y: np.ndarray, most: int, **settings) -> list[int]:
+    """The columns, at most ``most`` and in their order, that weigh most in a probe of this kind.
+
+    A model without weights (nearest neighbours, a kernel) is probed by an elastic net.
+    """
+    if x.shape[1] <= most:
+        return list(range(x.shape[1]))
+    model = fit(kind, x, y, **settings)
+    weight = model.get("coef", model.get("importance"))
+    if weight is None or len(weight) != x.shape[1]:
+        weight = fit("elasticnet", x, y, alpha=0.01, l1_ratio=0.5)["coef"]
+    return sorted(np.argsort(-np.abs(np.asarray(weight, float)), kind="stable")[:most].tolist())
+
+
 def permutation_importance(model: dict, x: np.ndarray, y: np.ndarray, repeats: int = 10, seed: int = 42) -> np.ndarray:
     """Mean rise of the squared error when a column is shuffled."""
     rng, base = np.random.default_rng(seed), ((y - predict(model, x)) ** 2).mean()

@@ -56,6 +56,16 @@ def within(rows: DataFrame, res: DataFrame) -> DataFrame:
     return rows.join(res.select(*KEY), KEY, "left_semi")
 
 
+def missing_coverage(rows: DataFrame, res: DataFrame) -> DataFrame:
+    """structure_id, chain, residues, missing (of the structure, that rows lack) of each chain that lacks any, and whether no chain of the structure is in rows."""
+    there = rows.select(*KEY, F.lit(1).alias("_there")).distinct()
+    by_chain = res.select(*KEY).distinct().join(there, KEY, "left").groupBy("structure_id", "chain").agg(F.count("*").alias("residues"), F.count_if(F.col("_there").isNull()).alias("missing"))
+    known = rows.select("structure_id", "chain").distinct().withColumn("_known", F.lit(True))
+    found = by_chain.join(known, ["structure_id", "chain"], "left")
+    apart = found.groupBy("structure_id").agg((F.count("_known") == 0).alias("disjoint"))
+    return found.where("missing > 0").join(apart, "structure_id").select("structure_id", "chain", "residues", "missing", "disjoint")
+
+
 def collisions(res: DataFrame) -> DataFrame:
     """(structure_id, chain, resnum) that more than one residue has."""
     return res.groupBy("structure_id", "chain", "resnum").agg(F.count("*").alias("n")).where("n > 1")

@@ -163,17 +163,20 @@ def mode(column: str) -> Column:
 
 def mean_jaccard(sets: DataFrame, keys: list[str], member: str, features: str) -> DataFrame:
     """Mean Jaccard similarity of all pairs of a group's non-empty sets; null under two. sets holds a row for each fold."""
-    full = sets.where(F.size(features) > 0)
-    left = full.select(*keys, F.col(member).alias("_a"), F.col(features).alias("_x"))
-    right = full.select(*keys, F.col(member).alias("_b"), F.col(features).alias("_y"))
-    pairs = left.join(right, keys).where("_a < _b")
+    # Equal sets are one class with a count: pairs are formed of classes, of which few sets of features make few.
+    alike = sets.where(F.size(features) > 0).groupBy(*keys, F.array_sort(F.array_distinct(features)).alias("_x")).agg(F.countDistinct(member).cast("double").alias("_n"))
+    left, right = alike, alike.select(*keys, F.col("_x").alias("_y"), F.col("_n").alias("_m"))
     each = F.size(F.array_intersect("_x", "_y")) / F.size(F.array_union("_x", "_y"))
-    return sets.select(*keys).distinct().join(pairs.groupBy(*keys).agg(F.avg(each).alias("jaccard")), keys, "left")
+    apart = left.join(right, keys).where("_x < _y").groupBy(*keys).agg(F.sum(each * F.col("_n") * F.col("_m")).alias("_apart"))
+    total = alike.groupBy(*keys).agg(F.sum("_n").alias("_all"), F.sum(F.col("_n") * (F.col("_n") - 1) / 2).alias("_same"))
+    mean = F.try_divide(F.col("_same") + F.coalesce("_apart", F.lit(0.0)), F.col("_all") * (F.col("_all") - 1) / 2)
+    return sets.select(*keys).distinct().join(total.join(apart, keys, "left").select(*keys, mean.alias("jaccard")), keys, "left")
 
 
-def votes(runs: DataFrame, features: str) -> DataFrame:
-    """How many runs chose each feature, most first, then by name."""
-    return runs.select(F.explode(F.array_distinct(features)).alias("feature")).groupBy("feature").agg(F.count("*").alias("votes")).orderBy(F.desc("votes"), "feature")
+def votes(runs: DataFrame, features: str, most: int | None = None) -> DataFrame:
+    """How many runs chose each feature, most first, then by name; the first ``most`` of them if that is given."""
+    out = runs.select(F.explode(F.array_distinct(features)).alias("feature")).groupBy("feature").agg(F.count("*").alias("votes")).orderBy(F.desc("votes"), "feature")
+    return out if most is None else out.limit(most)
 
 
 def elbow(df: DataFrame, name: str, score: str, keys: list[str] | None = None) -> DataFrame:

@@ -17,7 +17,7 @@ from descra.sources import results, sinks, structures, tables, tools
 
 @dataclass
 class Log:
-    """Events of a run: kept, and written as JSON lines at its end."""
+    """Events of a run: kept, and written as JSON lines, failures as a table and the state of the stages after each of them."""
 
     events: list[dict] = field(default_factory=list)
 
@@ -27,8 +27,13 @@ class Log:
     def failed(self) -> bool:
         return any(e["event"] == "failed" for e in self.events)
 
-    def write(self, spark: SparkSession, path: str) -> None:
+    def write(self, spark: SparkSession, path: str, ended: bool = True) -> None:
         sinks.put_text(spark, f"{path}/events.jsonl", "".join(json.dumps(e, sort_keys=True) + "\n" for e in self.events))
+        failed = [e for e in self.events if e["event"] == "failed"]
+        of = lambda e: "; ".join(f"{k}={v}" for k, v in e.items() if k not in ("time", "stage", "event", "reason"))
+        plain = lambda v: " ".join(str(v).split())
+        sinks.put_text(spark, f"{path}/failures.tsv", "time\tstage\tof\treason\n" + "".join(f"{e['time']}\t{e['stage']}\t{plain(of(e))}\t{plain(e.get('reason', ''))}\n" for e in failed))
+        sinks.put_json(spark, f"{path}/run_state.json", {"ended": ended, "stages": {e["stage"]: e["event"] for e in self.events}})
         sinks.put_json(spark, f"{path}/summary.json", {"failed": self.failed(), "events": len(self.events)})
 
 
@@ -96,6 +101,7 @@ def run(spark: SparkSession, m: Manifest) -> Log:
         log.add("read", "started")
         assay = tables.read_assay(spark, m.inputs.assays)
         wide = describe(spark, m, log) if "describe" in m.stages() else read_descriptors(spark, m.inputs.descriptors)
+        log.write(spark, out, ended=False)
         if "cross_validate" in m.stages():
             whole = validate.absent(assay, wide, "name")
             gone = whole.collect()
@@ -145,6 +151,7 @@ def train_seed(spark: SparkSession, m: Manifest, table: DataFrame, targets: list
         log.add("cross_validate", "failed", task=r.task_id, reason=r.error)
     sinks.write_run(results_, out)
     log.add("cross_validate", "ended", seed=seed, tasks=results_.count())
+    log.write(spark, m.run.output, ended=False)
     if "final_models" in m.stages():
         final_models(spark, table.toPandas(), results_, features, {t.name: t for t in known}, out, log)
 

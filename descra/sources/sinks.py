@@ -41,7 +41,19 @@ def write_run(results: DataFrame, path: str) -> None:
     one_csv(selection.fold_winners(results).select(*key, "inner_pooled_spearman").orderBy(*key), f"{path}/fold_winners")
     selection.usage(results).write.mode("overwrite").parquet(f"{path}/features/feature_usage")
     selection.selected_by_fold(results).write.mode("overwrite").json(f"{path}/features/selected_features")
-    results.select(*key, "inner_pooled_spearman", "eval_model").write.mode("overwrite").parquet(f"{path}/inner_selection/inner_scores")
+    candidates = candidate_scores(results)
+    candidates.drop("alpha", "l1_ratio").write.mode("overwrite").parquet(f"{path}/inner_selection/inner_scores")
+    candidates.where("model = 'elasticnet'").select(*key, "alpha", "l1_ratio", "score", "chosen").write.mode("overwrite").parquet(f"{path}/inner_selection/elasticnet_grid")
+
+
+def candidate_scores(results: DataFrame) -> DataFrame:
+    """target_col, technique, outer_fold, candidate, model, alpha, l1_ratio, score and whether it was chosen: every candidate's inner score."""
+    key = ["target_col", "technique", "outer_fold"]
+    each = results.select(*key, "eval_model", F.col("alpha").alias("_a"), F.col("l1_ratio").alias("_l"), F.explode("inner_scores").alias("s"))
+    of = lambda name: F.get_json_object("s.candidate", f"$[1].{name}").cast("double")
+    made = each.select(*key, F.col("s.candidate").alias("candidate"), F.get_json_object("s.candidate", "$[0]").alias("model"), of("alpha").alias("alpha"), of("l1_ratio").alias("l1_ratio"), F.col("s.score").alias("score"), "eval_model", "_a", "_l")
+    chosen = (F.col("model") == F.col("eval_model")) & F.col("alpha").eqNullSafe(F.col("_a")) & F.col("l1_ratio").eqNullSafe(F.col("_l"))
+    return made.withColumn("chosen", chosen).drop("eval_model", "_a", "_l")
 
 
 def put_text(spark: SparkSession, path: str, text: str) -> None:

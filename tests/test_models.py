@@ -120,6 +120,9 @@ def test_whole_run_from_descriptors(spark, tmp_path, capsys):
     assert not log.failed(), log.events
     model = plan.load_model(spark, f"file://{tmp_path}/out/models/target_y.json")
     assert model["kind"] == "elasticnet" and spark.read.parquet(f"file://{tmp_path}/out/results").count() == 3
+    grid = spark.read.parquet(f"file://{tmp_path}/out/inner_selection/elasticnet_grid").collect()
+    assert len(grid) == 3 * 63 and sum(r.chosen for r in grid) == 3 and (tmp_path / "out/failures.tsv").read_text().count("\n") == 1
+    assert json.loads((tmp_path / "out/run_state.json").read_text())["ended"] is True
     (tmp_path / "bad.json").write_text("{}")
     assert cli.main(["validate", str(tmp_path / "bad.json")]) == 2
 

@@ -165,3 +165,22 @@ def test_the_screen_leaves_out_a_q_of_exactly_the_bound(spark):
     df = spark.createDataFrame([(float(k), float(k % 7), k + (k % 3) * 2.0) for k in range(30)], "a double, b double, t double")
     q = {r.feature: r.q for r in stats.target_screen(df, ["a", "b"], "t", most_q=2.0).collect()}
     assert {r.feature for r in stats.target_screen(df, ["a", "b"], "t", most_q=q["b"]).collect()} == {f for f in q if q[f] < q["b"]}
+
+
+def test_mean_jaccard_of_classes_is_that_of_all_pairs(spark):
+    r = np.random.default_rng(4)
+    rows = [(f"g{k % 3}", k, [f"f{x}" for x in r.choice(4, r.integers(0, 4), replace=False)]) for k in range(60)] + [("lone", 1, ["a"]), ("none", 1, [])]
+    got = {x.g: x.jaccard for x in stats.mean_jaccard(spark.createDataFrame(rows, "g string, m int, f array<string>"), ["g"], "m", "f").collect()}
+    for g in ("g0", "g1", "g2"):
+        sets = [set(f) for k, _, f in rows if k == g and f]
+        assert got[g] == pytest.approx(np.mean([len(a & b) / len(a | b) for i, a in enumerate(sets) for b in sets[:i]]))
+    assert got["lone"] is None and got["none"] is None
+
+
+def test_votes_and_columns_that_weigh_most(spark):
+    runs = spark.createDataFrame([(["a", "b"],), (["b", "c"],), (["b", "a", "a"],)], "f array<string>")
+    assert [tuple(r) for r in stats.votes(runs, "f", 2).collect()] == [("b", 3), ("a", 2)]
+    x = np.random.default_rng(2).normal(size=(50, 5))
+    y = 3 * x[:, 1] - 2 * x[:, 4] + 0.1 * x[:, 0]
+    assert kernels.strongest("linear", x, y, 2) == [1, 4] and kernels.strongest("knn", x, y, 2) == [1, 4] and kernels.strongest("knn", x, y, 9) == [0, 1, 2, 3, 4]
+    assert sorted(kernels.most_stable(x, y, 2)) == [1, 4]

@@ -331,3 +331,34 @@ def test_a_chain_without_a_terminal_value_is_told(spark, atoms):
     values = spark.createDataFrame(pka(molecule()), PKA).where("not (chain = 'H' and resname = 'N+')")
     got = de.missing_termini(residues.residues(atoms.where("structure_id = 's1'")), values).collect()
     assert [(r.key, r.detail, r.rule) for r in got] == [("s1", "H", "no N+")]
+
+
+def test_neighbour_scores_by_brute_force(spark, atoms):
+    rows = molecule()
+    a = pd.DataFrame(rows, columns=NAMES)
+    sasa = spark.createDataFrame(surface(rows), SASA).where("structure_id = 's1'")
+    one = atoms.where("structure_id = 's1'")
+    res = de.residue_table(one, sasa, spark.createDataFrame(pka(rows), PKA)).persist()
+    table = res.toPandas()
+    xyz, place = a[["x", "y", "z"]].to_numpy(), {k: i for i, k in enumerate(zip(table.chain, table.resnum))}
+    touch = np.zeros((len(table), len(table)), bool)
+    i, j = np.nonzero(distances(xyz, xyz) <= 6)
+    key = list(zip(a.chain, a.resnum))
+    touch[[place[key[k]] for k in i], [place[key[k]] for k in j]] = True
+    np.fill_diagonal(touch, False)
+    area, charge = table.side_rel.fillna(0).to_numpy(), table.charge.to_numpy()
+    hyd = table.resname.map(ch.WIMLEY_WHITE).to_numpy()
+    p = (touch @ (charge * area)) * area
+    score = lambda *x, **k: de.neighbour_score(one, res, 6.0, *x, **k).first().score
+    assert score() == pytest.approx(-p[p < 0].sum()) and score(reduce="pos_abs") == pytest.approx(p[p > 0].sum()) and score(reduce="sum") == pytest.approx(p.sum())
+    p = (touch @ np.where(area > 0.2, hyd, 0)) * np.maximum(charge, 0) * area
+    assert score("hydrophobicity", weighted=False, centre="positive", centre_by_area=True, reduce="sum") == pytest.approx(p.sum())
+    some = np.array([any((n, r) in ch.POSITIVE_ATOMS + ch.NEGATIVE_ATOMS for n in a.name[(a.chain == c) & (a.resnum == m)]) for c, m, r in zip(table.chain, table.resnum, table.resname)])
+    got = de.residue_charge_map(one, res, 6.0).first()
+    p = ((touch[:, some] @ (charge * area)[some]) * area)[some]
+    assert (got is None and not some.any()) or got.score == pytest.approx(-p[p < 0].sum())
+    with pytest.raises(ValueError):
+        score("mass")
+    # Residues that a tool lacks, by chain.
+    lacks = residues.missing_coverage(sasa.where("not (chain = 'H' and resnum < 30)"), res).collect()
+    assert [(r.chain, r.missing, r.disjoint) for r in lacks] == [("H", int(((table.chain == "H") & (table.resnum < 30)).sum()), False)]
