@@ -14,21 +14,34 @@ from pyspark.sql import functions as F
 
 from descra.operators.columns import quoted
 
-BUCKETS = 256
+#: Buckets of a group, and about how many of its distinct values place their bounds.
+BUCKETS, BOUND_VALUES = 256, 8192
 
 
 def running_counts(df: DataFrame, keys: list[str], value: str, buckets: int = BUCKETS) -> DataFrame:
     """keys, value, n (rows with the value), below (rows of the group with a lesser value)."""
+    return _running(df, keys, value, buckets).drop("_bucket")
+
+
+def _running(df: DataFrame, keys: list[str], value: str, buckets: int = BUCKETS) -> DataFrame:
+    """running_counts with _bucket, which rises with the value."""
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n"))
-    spans = counts.groupBy(*keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
-    width = F.col("_hi").cast("double") - F.col("_lo").cast("double")
-    place = F.floor(F.try_divide(F.col(value).cast("double") - F.col("_lo").cast("double"), width) * buckets)
-    counts = _with(counts, spans, keys).withColumn("_bucket", F.when(width > 0, F.least(place, F.lit(buckets - 1))).otherwise(F.lit(0)).cast("int"))
+    # Bounds are quantiles of the distinct values whose hash is low: the same ones whenever a task is run again, as an approximate percentile's are not.
+    sizes = counts.groupBy(*keys).agg(F.count("*").alias("_size"))
+    low = F.pmod(F.xxhash64(value), F.lit(1 << 30)).cast("double") * F.col("_size") < float(BOUND_VALUES << 30)
+    some = _with(counts, sizes, keys).groupBy(*keys).agg(F.sort_array(F.collect_list(F.when(low, F.col(value).cast("double")))).alias("_some"))
+    at = lambda i: F.get("_some", F.floor(i * F.size("_some") / buckets).cast("int"))
+    bounds = some.select(*keys, F.transform(F.sequence(F.lit(1), F.lit(buckets - 1)), at).alias("_bounds"))
+    # A binary search among the bounds.
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range((buckets - 1).bit_length()))])
+    reached = lambda pos, step: F.get("_bounds", pos + step - 1) <= F.col(value).cast("double")
+    bucket = F.aggregate(steps, F.lit(0), lambda pos, step: F.when(reached(pos, step), pos + step).otherwise(pos))
+    counts = _with(counts, bounds, keys).withColumn("_bucket", bucket).drop("_bounds")
     totals = counts.groupBy(*keys, "_bucket").agg(F.sum("n").alias("_total"))
     before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     bases = totals.select(*keys, "_bucket", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_base"))
     inside = Window.partitionBy(*keys, "_bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    return _with(counts, bases, [*keys, "_bucket"]).select(*keys, value, "n", (F.col("_base") + F.coalesce(F.sum("n").over(inside), F.lit(0))).alias("below"))
+    return _with(counts, bases, [*keys, "_bucket"]).select(*keys, value, "n", (F.col("_base") + F.coalesce(F.sum("n").over(inside), F.lit(0))).alias("below"), "_bucket")
 
 
 def _with(df: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
@@ -121,12 +134,16 @@ def correlations(df: DataFrame, columns: list[str], least: int = 3, spearman: bo
 
 def benjamini_hochberg(df: DataFrame, keys: list[str], p: str, name: str = "q") -> DataFrame:
     """df with adjusted p values: the least n * p / rank from the row's rank on, 1 at most; nulls stay null."""
-    ranks = running_counts(df, keys, p)
+    ranks = _running(df, keys, p)
     total = ranks.groupBy(*keys).agg(F.sum("n").alias("_all"))
     # Equal p values share the largest of their ranks: that one has the least ratio.
     ratio = _with(ranks, total, keys).withColumn("_ratio", F.col(p) * F.col("_all") / (F.col("below") + F.col("n")))
-    after = Window.partitionBy(*keys).orderBy(F.desc(p)).rowsBetween(Window.unboundedPreceding, 0)
-    done = ratio.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.col(p).alias("_p"), F.least(F.lit(1.0), F.min("_ratio").over(after)).alias(name))
+    # The least ratio of the buckets above, one row for each bucket, then of the values from this one on in its own.
+    above = Window.partitionBy(*keys).orderBy(F.desc("_bucket")).rowsBetween(Window.unboundedPreceding, -1)
+    least = ratio.groupBy(*keys, "_bucket").agg(F.min("_ratio").alias("_least")).select(*keys, "_bucket", F.min("_least").over(above).alias("_above"))
+    after = Window.partitionBy(*keys, "_bucket").orderBy(F.desc(p)).rowsBetween(Window.unboundedPreceding, 0)
+    ratio = _with(ratio, least, [*keys, "_bucket"])
+    done = ratio.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.col(p).alias("_p"), F.least(F.lit(1.0), F.min("_ratio").over(after), "_above").alias(name))
     on = df[p] == done["_p"]
     for i, k in enumerate(keys):
         on = on & df[k].eqNullSafe(done[f"_k{i}"])

@@ -1,4 +1,6 @@
 import math
+import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -184,3 +186,31 @@ def test_votes_and_columns_that_weigh_most(spark):
     y = 3 * x[:, 1] - 2 * x[:, 4] + 0.1 * x[:, 0]
     assert kernels.strongest("linear", x, y, 2) == [1, 4] and kernels.strongest("knn", x, y, 2) == [1, 4] and kernels.strongest("knn", x, y, 9) == [0, 1, 2, 3, 4]
     assert sorted(kernels.most_stable(x, y, 2)) == [1, 4]
+
+
+def test_buckets_of_a_heavy_tail_hold_equal_shares(spark):
+    r = random.Random(4)
+    rows = [("a", math.exp(r.gauss(0, 3))) for _ in range(20000)] + [("b", float(i % 7)) for i in range(50)] + [(None, 1.0), (None, None)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(3)
+    got = stats._running(df, ["k"], "v").collect()
+    values = sorted(v for k, v in rows if k == "a")
+    assert [x.below for x in sorted((x for x in got if x.k == "a"), key=lambda x: x.v)] == list(range(20000)) and len(values) == 20000
+    assert {(x.v, x.n, x.below) for x in got if x.k == "b"} == {(float(v), 7 + (v == 0), v and 7 * v + 1) for v in range(7)}
+    assert [(x.v, x.n, x.below) for x in got if x.k is None] == [(1.0, 1, 0)]
+    shares = Counter(x._bucket for x in got if x.k == "a")
+    assert len(shares) == stats.BUCKETS and max(shares.values()) < 3 * 20000 / stats.BUCKETS
+
+
+@pytest.mark.parametrize("keys", [["k"], []])
+def test_adjusted_p_values_against_the_definition(spark, keys):
+    r = random.Random(5)
+    rows = [(r.choice("aab"), None if r.random() < 0.1 else round(r.random() ** 4, 3), i) for i in range(1500)]
+    got = {x.i: x.q for x in stats.benjamini_hochberg(spark.createDataFrame(rows, "k string, p double, i int"), keys, "p").collect()}
+    for k in "ab" if keys else [None]:
+        some = sorted((p, i) for g, p, i in rows if p is not None and k in (None, g))
+        least = 1.0
+        for rank in range(len(some), 0, -1):
+            p, i = some[rank - 1]
+            least = min(least, p * len(some) / rank)
+            assert got[i] == pytest.approx(least)
+    assert all(got[i] is None for _, p, i in rows if p is None) and len(got) == len(rows)
