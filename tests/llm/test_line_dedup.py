@@ -1,4 +1,5 @@
 import random
+import re
 
 import pyarrow as pa
 import pytest
@@ -6,12 +7,66 @@ import pytest
 from descra.llm import line_dedup as ld
 
 
+MASK = (1 << 64) - 1
+
+
+def mixed(x):
+    """The splitmix64 finalizer."""
+    x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & MASK
+    x = (x ^ x >> 27) * 0x94D049BB133111EB & MASK
+    return x ^ x >> 31
+
+
+def hashed(b):
+    total, power = 0, 1
+    for x in b:
+        total, power = total + (x + 1) * power, power * 0x9E3779B97F4A7C15 & MASK
+    return mixed(total + mixed(len(b)) & MASK)
+
+
+def low(values, i):
+    return all(values[i] < values[j] for j in (i - 1, i + 1) if 0 <= j < len(values))
+
+
+def chunks(text):
+    """Bytes, bytes with the white space up to the next chunk (the first: from the text's begin), lines and words of each chunk, word by word."""
+    t = text.encode()
+    found = [(m.start(), m.end()) for m in re.finditer(rb"[^ \t\n\x0b\x0c\r]+", t)]
+    of_words = [hashed(t[a:b]) for a, b in found]
+    lines = []
+    for i, (a, b) in enumerate(found):
+        if i == 0 or low(of_words, i - 1) or b"\n" in t[found[i - 1][1] : a]:
+            lines.append([])
+        lines[-1].append((a, b))
+    of_lines = [hashed(t[x[0][0] : x[-1][1]]) for x in lines]
+    rolling = [mixed((p * 0x9E3779B97F4A7C15 + h) & MASK) for p, h in zip([0, *of_lines], of_lines)]
+    parts = []
+    for i, x in enumerate(lines):
+        if i == 0 or low(rolling, i - 1):
+            parts.append([])
+        parts[-1].append(x)
+    out = []
+    for i, x in enumerate(parts):
+        a, b = x[0][0][0], x[-1][-1][1]
+        end = parts[i + 1][0][0][0] if i + 1 < len(parts) else len(t)
+        out.append((t[a:b], t[a if i else 0 : end], len(x), sum(map(len, x))))
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_chunks_word_by_word(seed):
+    texts = [t for _, t in corpus(seed)[0] if t and len(t) < 100000]
+    c = ld.Chunks(pa.array(texts, pa.large_string()))  # all in one slice
+    for i, t in enumerate(texts):
+        of = range(int(c.at[i]), int(c.at[i + 1]))
+        assert [(c.bytes(k), int(c.lines[k]), int(c.words[k])) for k in of] == [(b, n, w) for b, _, n, w in chunks(t)]
+
+
 def brute(rows, least_lines=ld.LEAST_LINES, least_words=ld.LEAST_WORDS):
-    """The rule, by dictionaries of whole chunks."""
+    """The rule, by dictionaries of whole chunks that are cut word by word."""
     cut = {}
     for n, (d, t) in enumerate(rows):
-        c = ld.Chunks(pa.array([t], pa.large_string()))
-        cut[n] = [(c.bytes(k), t.encode()[0 if k == 0 else c.begin[k] : c.end[k]], int(c.lines[k]), int(c.words[k])) for k in range(len(c.doc))] if t else []
+        cut[n] = chunks(t) if t else []
         assert b"".join(x[1] for x in cut[n]) == (t or "").encode() or not (t or "").strip()
     owner = {}
     for n, (d, t) in enumerate(rows):
