@@ -12,8 +12,9 @@ the plan is made on the histogram of lengths, whatever the number of documents:
    nothing fits.  Best-fit decreasing packs the rest, whole groups of equal
    sequences at a time.
 3. ``place`` turns ranks into (sequence_id, offset): prefix sums of the counts per
-   (task, length), then a lookup in the plan's runs for that length.  No key's
-   rows meet in one task.
+   (task, length), then a lookup in the plan's runs for that length.  The sums
+   are broadcast up to ``SENT`` of them; beyond, the pieces of one task, which
+   are no more than one split of the input, are joined with its sums.
 
 Defined results: null and empty texts are the end id alone (length 1); rows with
 equal or null doc_id are each a document; an empty table packs into nothing;
@@ -36,6 +37,8 @@ from descra.llm import kit
 from descra.llm.tokens import PieceEncoder, as_strings, slices
 
 CAPACITY, END = 2048, 0
+#: Entries of (task, length) that a broadcast may hold; beyond them pieces are joined by task.
+SENT = 2_000_000
 PIECES = "doc_id long, piece int, start long, length long, ids binary, task int, rank long"
 
 Pattern = tuple[tuple[int, ...], int]
@@ -175,11 +178,15 @@ def place(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     histogram = {r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most capacity rows
     runs = spark.createDataFrame(plan_runs(plan(histogram, capacity)), "length long, runs array<struct<lo: long, hi: long, first: long, each: long, at: long>>")
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
-    base = counts.select("task", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    placed = cut.join(base, ["task", "length"]).withColumn("nth", F.col("rank") + F.col("base"))
+    base = counts.select("task", F.col("length").cast("int").alias("length"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    # A row for each task, of at most capacity lengths: twelve bytes each.  More than SENT of them are not broadcast.
+    bases = base.groupBy("task").agg(F.sort_array(F.collect_list(F.struct("length", "base"))).alias("b")).select("task", F.col("b.length").alias("lengths"), F.col("b.base").alias("bases"))
+    bases = F.broadcast(bases) if counts.count() <= SENT else bases.hint("merge")
+    own = F.get("bases", (F.array_position("lengths", F.col("length").cast("int")) - 1).cast("int"))
+    placed = cut.join(bases, "task").withColumn("nth", F.col("rank") + own)
     # runs has a row for each length, at most capacity of them.
     placed = placed.join(F.broadcast(runs), "length").withColumn("run", F.expr("element_at(filter(runs, r -> r.lo <= nth AND nth < r.hi), 1)"))
-    return placed.withColumns({"sequence_id": F.expr("run.first + (nth - run.lo) div run.each"), "offset": F.expr("run.at + (nth - run.lo) % run.each * length")}).drop("runs", "run", "nth", "base", "task", "rank")
+    return placed.withColumns({"sequence_id": F.expr("run.first + (nth - run.lo) div run.each"), "offset": F.expr("run.at + (nth - run.lo) % run.each * length")}).drop("runs", "run", "nth", "lengths", "bases", "task", "rank")
 
 
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

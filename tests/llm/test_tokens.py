@@ -114,7 +114,9 @@ def test_plan_packs_all_and_best(seed):
     assert bins(fixed) + best[0] == kept
 
 
-def test_packing_is_gapless_and_whole(spark, docs):
+@pytest.mark.parametrize("sent", [packing.SENT, 0])
+def test_packing_is_gapless_and_whole(spark, docs, monkeypatch, sent):
+    monkeypatch.setattr(packing, "SENT", sent)
     rows, df = docs
     cut = packing.pieces(df, capacity=128)
     got = packing.place(cut, 128).collect()
