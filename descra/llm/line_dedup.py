@@ -6,24 +6,32 @@ own.  A chunk ends where a rolling hash over two successive line hashes is less
 than those before and after it: equal passages get equal chunks wherever they
 stand, but for those at their edges, and chunks have two lines at least.  A
 chunk belongs to the smallest doc_id that holds it.  In every other document a
-chunk with the same hash is compared with the owner's byte by byte; runs of equal
-chunks with at least ``least_words`` words, and ``least_lines`` lines or else
-``LONG_WORDS`` words (a line that nothing breaks), are removed.
-Inside one document the first copy of a chunk is the one that stays.
+chunk with the same hash is compared with the owner's byte by byte.  Since what
+surrounds a passage moves its outermost bounds, a run of equal chunks goes on word
+by word, white space included, as long as both texts do: before its first chunk
+and after its last one, as far as ``EDGE_CHUNKS`` chunks of the owner, which is
+further than such a bound can move.  Runs with at least ``least_words`` words by
+then, and ``least_lines`` lines of chunks or else ``LONG_WORDS`` words (a line that
+nothing breaks), are removed.  Inside one document the first copy of a chunk is the
+one that stays, and later copies go on along the text around it.  A word is only
+removed for an equal one in a smaller doc_id or further up, so one copy stays.
 
 Hashes go through one pre-aggregated grouping (the owner is a minimum); only
 bytes of shared chunks travel, one copy for each chunk and one for each document
-that must compare.  A passage that a third of all documents hold is one row a
+that must compare, and those around a chunk only where not all documents have the
+same neighbour there (told by 32 bits of its hash).  A passage that a third of all documents hold is one row a
 document.
 
 Defined results: a null text stays null; documents that lose all they have keep
 an empty text; a null doc_id owns nothing and loses only what it repeats itself;
-rows with the same doc_id count as one document; an empty table gives no rows;
+rows with the same doc_id count as one document (of several texts around an owner's
+chunk the least counts); an empty table gives no rows;
 further columns stay, ``n_chars`` is counted anew where there is one.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,6 +44,10 @@ from descra.llm import kit, words
 from descra.llm.tokens import as_strings, slices
 
 LEAST_LINES, LEAST_WORDS, LONG_WORDS, SLICE_BYTES = 2, 16, 50, 2 << 20
+#: A bound is certain from the third whole line of a passage, and chunks have two lines: with the cut line, three chunks.
+EDGE_CHUNKS = 3
+#: Words with the white space that follows, and that leads.
+FOLLOWED, LED = re.compile(rb"[^ \t-\r]+[ \t-\r]*"), re.compile(rb"[ \t-\r]*[^ \t-\r]+")
 
 
 def lows(x: np.ndarray, of: np.ndarray) -> np.ndarray:
@@ -98,9 +110,15 @@ class Chunks:
     def bytes(self, k: int) -> bytes:
         return self.data[self.begin[k] : self.stop[k]].tobytes()
 
+    def before(self, k: int) -> bytes:
+        return self.data[self.begin[max(int(self.at[self.doc[k]]), k - EDGE_CHUNKS)] : self.begin[k]].tobytes()
+
+    def after(self, k: int) -> bytes:
+        return self.data[self.stop[k] : self.stop[min(int(self.at[self.doc[k] + 1]) - 1, k + EDGE_CHUNKS)]].tobytes()
+
 
 def chunk_rows(docs: DataFrame) -> DataFrame:
-    """hash, doc_id: the distinct chunks of each document."""
+    """hash, doc_id: the distinct chunks of each document, with some bits of the hash of the chunks before and after the first copy (0: none)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -110,20 +128,34 @@ def chunk_rows(docs: DataFrame) -> DataFrame:
                 h, d = c.hash[order], c.doc[order]
                 new = np.ones(len(h), bool)
                 new[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1])
-                yield pa.record_batch([pa.array(h[new]), batch.column(0).slice(at, len(some)).take(pa.array(d[new]))], names=["hash", "doc_id"])
+                inner = c.doc[1:] == c.doc[:-1]
+                bits = c.hash.astype(np.int32) | 1
+                last, next_ = np.zeros((2, len(h)), np.int32)
+                last[1:][inner], next_[:-1][inner] = bits[:-1][inner], bits[1:][inner]
+                ids = batch.column(0).slice(at, len(some)).take(pa.array(d[new]))
+                yield pa.record_batch([pa.array(h[new]), ids, pa.array(last[order][new]), pa.array(next_[order][new])], names=["hash", "doc_id", "last", "next"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null").transform(kit.arrow(run, "hash long, doc_id long, last int, next int"))
+
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null").transform(kit.arrow(run, "hash long, doc_id long"))
+def agree(a: list[bytes], b: list[bytes]) -> list[bytes]:
+    """What a and b begin with alike."""
+    n = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    return a[:n]
 
 
-def kept(c: Chunks, i: int, shared: dict[int, bytes], least_lines: int, least_words: int) -> list[tuple[int, int]]:
-    """The spans of text i that stay, in bytes."""
+def kept(c: Chunks, i: int, shared: dict[int, tuple[bytes, bytes, bytes]], least_lines: int, least_words: int) -> list[tuple[int, int]]:
+    """The spans of text i that stay, in bytes; ``shared`` gives the owner's bytes of a chunk, before and after it."""
     a, b = int(c.at[i]), int(c.at[i + 1])
     own: dict[int, int] = {}
-    repeated = []
+    first, repeated = [], []
     for k in range(a, b):
         h = int(c.hash[k])
         again = own.setdefault(h, k)
-        repeated.append(h in shared and shared[h] == c.bytes(k) or again != k and c.bytes(again) == c.bytes(k))
+        if again != k and c.bytes(again) != c.bytes(k):
+            again = k
+        first.append(again)
+        repeated.append(again != k or h in shared and shared[h][0] == c.bytes(k))
     out, at, k = [], int(c.offsets[i]), a
     while k < b:
         if not repeated[k - a]:
@@ -132,10 +164,24 @@ def kept(c: Chunks, i: int, shared: dict[int, bytes], least_lines: int, least_wo
         j = k
         while j < b and repeated[j - a]:
             j += 1
-        n_words = c.words[k:j].sum()
+        until = j
+        while until < b and not repeated[until - a]:
+            until += 1
+        start, stop = int(c.begin[k]), int(c.stop[j - 1])
+        limit = int(c.begin[until]) if until < b else int(c.offsets[i + 1])
+        before = c.before(first[k - a]) if first[k - a] != k else shared[int(c.hash[k])][1]
+        after = c.after(first[j - 1 - a]) if first[j - 1 - a] != j - 1 else shared[int(c.hash[j - 1])][2]
+        # One byte more than the owner's, so that a part of a word is not taken for a word.
+        mine = c.data[max(at, start - len(before) - 1) : start].tobytes()
+        back = agree(FOLLOWED.findall(mine)[::-1], FOLLOWED.findall(before)[::-1])
+        mine = c.data[stop : min(limit, stop + len(after) + 1)].tobytes()
+        on = agree(LED.findall(mine), LED.findall(after))
+        n_words = c.words[k:j].sum() + len(back) + len(on)
         if n_words >= least_words and (c.lines[k:j].sum() >= least_lines or n_words >= LONG_WORDS):
-            out.append((at, int(c.begin[k])))
-            at = int(c.end[j - 1])
+            out.append((at, start - sum(map(len, back))))
+            at = stop + sum(map(len, on))
+            while at < c.offsets[i + 1] and not words.UNSPACED[c.data[at]]:
+                at += 1
         k = j
     out.append((at, int(c.offsets[i + 1])))
     return [(x, y) for x, y in out if y > x]
@@ -144,29 +190,31 @@ def kept(c: Chunks, i: int, shared: dict[int, bytes], least_lines: int, least_wo
 def deduplicate(docs: DataFrame, *, least_lines: int = LEAST_LINES, least_words: int = LEAST_WORDS) -> DataFrame:
     """docs with a new ``text``, and ``n_chars`` where there is one."""
     rows = chunk_rows(docs)
-    shared = rows.groupBy("hash").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).where("owner < last").select("hash", "owner")
-    uses = kit.written(rows.join(shared, "hash"), "shared-chunks")
+    edges = [(F.min(x) < F.max(x)).alias(x) for x in ("last", "next")]
+    shared = rows.groupBy("hash").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("most"), *edges).where("owner < most").drop("most")
+    uses = kit.written(rows.select("hash", "doc_id").join(shared, "hash"), "shared-chunks")
     names = [f"in_{i}" for i in range(len(docs.columns))]
     text = docs.columns.index("text")
     # Both passes read the same exchange of the texts.
     own = docs.toDF(*names).withColumn("key", F.col(names[docs.columns.index("doc_id")]).cast("long"))
-    mine = uses.where("doc_id = owner").groupBy("doc_id").agg(F.collect_list("hash").alias("wanted")).withColumnRenamed("doc_id", "key")
+    mine = uses.where("doc_id = owner").groupBy("doc_id").agg(F.collect_list(F.struct("hash", "last", "next")).alias("wanted")).withColumnRenamed("doc_id", "key")
 
     def give(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, some in slices(as_strings(batch.column(batch.schema.get_field_index(names[text]))), SLICE_BYTES):
                 c, wanted = Chunks(some), batch.column(batch.num_columns - 1).slice(at, len(some)).to_pylist()
                 out = {}
-                for i, hashes in enumerate(wanted):
-                    left = set(hashes)
+                for i, these in enumerate(wanted):
+                    left = {x["hash"]: x for x in these}
                     for k in range(int(c.at[i]), int(c.at[i + 1])):
-                        if (h := int(c.hash[k])) in left:
-                            left.remove(h)
-                            out[h] = c.bytes(k)
-                yield pa.record_batch([pa.array(list(out), pa.int64()), pa.array(list(out.values()), pa.binary())], names=["hash", "bytes"])
+                        if x := left.pop(h := int(c.hash[k]), None):
+                            found = c.bytes(k), c.before(k) if x["last"] else b"", c.after(k) if x["next"] else b""
+                            out[h] = tuple(map(min, out[h], found)) if h in out else found
+                columns = zip(*out.values()) if out else ((), (), ())
+                yield pa.record_batch([pa.array(list(out), pa.int64()), *(pa.array(x, pa.binary()) for x in columns)], names=["hash", "bytes", "before", "after"])
 
-    given = own.join(mine, "key").transform(kit.arrow(give, "hash long, bytes binary"))
-    theirs = uses.where("doc_id <> owner").join(given, "hash").groupBy(F.col("doc_id").alias("key")).agg(F.collect_list(F.struct("hash", "bytes")).alias("shared"))
+    given = own.join(mine, "key").transform(kit.arrow(give, "hash long, bytes binary, before binary, after binary"))
+    theirs = uses.where("doc_id <> owner").select("hash", F.col("doc_id").alias("key")).join(given, "hash").groupBy("key").agg(F.collect_list(F.struct("hash", "bytes", "before", "after")).alias("shared"))
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -182,7 +230,11 @@ def deduplicate(docs: DataFrame, *, least_lines: int = LEAST_LINES, least_words:
                 out: list = some.to_pylist()
                 for i in range(len(some)):
                     if many[i] and (given_[i] or twice[i]):
-                        spans = kept(c, i, {x["hash"]: x["bytes"] for x in given_[i] or ()}, least_lines, least_words)
+                        theirs_: dict[int, tuple[bytes, bytes, bytes]] = {}
+                        for x in given_[i] or ():
+                            found = x["bytes"], x["before"], x["after"]
+                            theirs_[x["hash"]] = tuple(map(min, theirs_.get(x["hash"], found), found))
+                        spans = kept(c, i, theirs_, least_lines, least_words)
                         out[i] = b"".join(c.data[a:b].tobytes() for a, b in spans).decode()
                 columns = part.columns[:-1]
                 columns[text] = pa.array(out, pa.string())

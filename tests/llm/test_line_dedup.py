@@ -62,9 +62,16 @@ def test_chunks_word_by_word(seed):
         assert [(c.bytes(k), int(c.lines[k]), int(c.words[k])) for k in of] == [(b, n, w) for b, _, n, w in chunks(t)]
 
 
+def spaced(t):
+    """The words of bytes, each with the white space before and after it."""
+    gaps = re.split(rb"[^ \t\n\x0b\x0c\r]+", t)
+    found = re.findall(rb"[^ \t\n\x0b\x0c\r]+", t)
+    return list(zip(gaps, found, gaps[1:]))
+
+
 def brute(rows, least_lines=ld.LEAST_LINES, least_words=ld.LEAST_WORDS):
-    """The rule, by dictionaries of whole chunks that are cut word by word."""
-    cut = {}
+    """The rule, by dictionaries of whole chunks that are cut word by word, and edges that go on word by word."""
+    cut, of = {}, {}
     for n, (d, t) in enumerate(rows):
         cut[n] = chunks(t) if t else []
         assert b"".join(x[1] for x in cut[n]) == (t or "").encode() or not (t or "").strip()
@@ -73,25 +80,63 @@ def brute(rows, least_lines=ld.LEAST_LINES, least_words=ld.LEAST_WORDS):
         if d is not None:
             for b, *_ in cut[n]:
                 owner[b] = min(d, owner.get(b, d))
+
+    def around(n, k):
+        """The words before and after chunk k of row n, nearest first, each with the white space between."""
+        parts = [x[1] for x in cut[n]]
+        before = b"".join(parts[max(0, k - 3) : k])
+        after = parts[k][len(parts[k].rstrip(b" \t\n\x0b\x0c\r")) :] + b"".join(parts[k + 1 : k + 4])
+        return [(w, g) for _, w, g in spaced(before)][::-1], [(g, w) for g, w, _ in spaced(after)]
+
+    for n, (d, t) in enumerate(rows):
+        for k, (b, *_) in enumerate(cut[n]):
+            if d is not None and owner[b] == d and b not in [x[0] for x in cut[n][:k]]:
+                of.setdefault(b, []).append((n, k))
+    # Of several rows of one owner, the least bytes around the chunk.
+    raw = lambda n, k: (b"".join(x[1] for x in cut[n][max(0, k - 3) : k]), b"".join(x[1] for x in cut[n][k : k + 4]).rstrip(b" \t\n\x0b\x0c\r"))
+    whose = {b: (min(x, key=lambda y: raw(*y)[0]), min(x, key=lambda y: raw(*y)[1])) for b, x in of.items()}
     out = []
     for n, (d, t) in enumerate(rows):
-        seen, flags = set(), []
-        for b, *_ in cut[n]:
-            flags.append(b in seen or d is not None and owner[b] < d)
-            seen.add(b)
-        text, k = "", 0
-        while k < len(flags):
+        seen, source = {}, []
+        for k, (b, *_) in enumerate(cut[n]):
+            if b in seen:
+                source.append(((n, seen[b]),) * 2)
+            else:
+                source.append(whose[b] if d is not None and owner[b] < d else None)
+            seen.setdefault(b, k)
+        data = (t or "").encode()
+        places = [0]
+        for x in cut[n]:
+            places.append(places[-1] + len(x[1]))
+        text, at, k = b"", 0, 0
+        while k < len(source):
             j = k
-            while j < len(flags) and flags[j] == flags[k]:
+            while j < len(source) and (source[j] is None) == (source[k] is None):
                 j += 1
-            run = cut[n][k:j]
-            words = sum(x[3] for x in run)
-            if not flags[k] or words < least_words or sum(x[2] for x in run) < least_lines and words < 50:
-                text += b"".join(x[1] for x in run).decode()
-            elif k == 0:  # white space that leads a text stays
-                text += t[: len(t) - len(t.lstrip(" \t\n\x0b\x0c\r"))]
+            if source[k]:
+                until = j
+                while until < len(source) and source[until] is None:
+                    until += 1
+                run = cut[n][k:j]
+                start = places[k] if k else len(data) - len(data.lstrip(b" \t\n\x0b\x0c\r"))
+                stop = places[j - 1] + len(run[-1][1].rstrip(b" \t\n\x0b\x0c\r"))
+                back, on = [], []
+                for x, y in zip([(w, g) for _, w, g in spaced(data[at:start])][::-1], around(*source[k][0])[0]):
+                    if x != y:
+                        break
+                    back.append(x)
+                for x, y in zip([(g, w) for g, w, _ in spaced(data[stop : places[until] if until < len(source) else len(data)])], around(*source[j - 1][1])[1]):
+                    if x != y:
+                        break
+                    on.append(x)
+                n_words = sum(x[3] for x in run) + len(back) + len(on)
+                if n_words >= least_words and (sum(x[2] for x in run) >= least_lines or n_words >= 50):
+                    text += data[at : start - sum(len(x + y) for x, y in back)]
+                    at = stop + sum(len(x + y) for x, y in on)
+                    at += len(data[at:]) - len(data[at:].lstrip(b" \t\n\x0b\x0c\r"))
             k = j
-        out.append((d, t if t is None or not cut[n] else text))
+        text += data[at:]
+        out.append((d, t if t is None or not cut[n] else text.decode()))
     return sorted(out, key=str)
 
 
@@ -124,12 +169,14 @@ def test_long_passages_go_and_clean_texts_stay(spark):
     word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
     lost = kept = 0
     rows, clean, passages = [], {}, []
+    texts = {}
     for p in range(40):
         passage = " ".join(word() for _ in range(55))
         passages.append(passage)
         for d in range(3):
             before, after = (" ".join(word() for _ in range(30)) for _ in range(2))
-            rows.append((p * 3 + d, f"{before}{r.choice(' 	')}{passage}\n{after}"))
+            texts[p * 3 + d] = f"{before}{r.choice(' 	')}{passage}\n{after}"
+            rows.append((p * 3 + d, texts[p * 3 + d]))
     for d in range(200, 240):
         clean[d] = "\n".join(["The same short line in all of them."] + [" ".join(word() for _ in range(20)) for _ in range(4)])
     df = spark.createDataFrame(rows + list(clean.items()), "doc_id long, text string")
@@ -138,4 +185,8 @@ def test_long_passages_go_and_clean_texts_stay(spark):
     for p, passage in enumerate(passages):
         kept += passage in got[3 * p]
         lost += sum(passage not in got[3 * p + d] for d in (1, 2))
-    assert kept == 40 and lost >= 78
+        for d in (1, 2):
+            before, after = texts[3 * p + d].split(passage)
+            if passage not in got[3 * p + d]:
+                assert got[3 * p + d] == before + after[1:]  # to the word
+    assert kept == 40 and lost == 80
