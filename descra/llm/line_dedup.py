@@ -18,8 +18,8 @@ removed for an equal one in a smaller doc_id or further up, so one copy stays.
 
 Hashes go through one pre-aggregated grouping (the owner is a minimum); only
 bytes of shared chunks travel, one copy for each chunk and one for each document
-that must compare, and those around a chunk only where not all documents have the
-same neighbour there (told by 32 bits of its hash).  A passage that a third of all documents hold is one row a
+that must compare, and those around a chunk only to documents with another
+neighbour there than the owner (told by 31 bits of its hash).  A passage that a third of all documents hold is one row a
 document.
 
 Defined results: a null text stays null; documents that lose all they have keep
@@ -32,7 +32,7 @@ further columns stay, ``n_chars`` is counted anew where there is one.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -110,6 +110,13 @@ class Chunks:
     def bytes(self, k: int) -> bytes:
         return self.data[self.begin[k] : self.stop[k]].tobytes()
 
+    def neighbours(self) -> tuple[np.ndarray, np.ndarray]:
+        """31 bits of the hash of the chunk before and after each (0: none in this text)."""
+        bits, inner = self.hash.astype(np.int32) | 1, self.doc[1:] == self.doc[:-1]
+        last, next_ = np.zeros((2, len(bits)), np.int32)
+        last[1:][inner], next_[:-1][inner] = bits[:-1][inner], bits[1:][inner]
+        return last, next_
+
     def before(self, k: int) -> bytes:
         return self.data[self.begin[max(int(self.at[self.doc[k]]), k - EDGE_CHUNKS)] : self.begin[k]].tobytes()
 
@@ -118,7 +125,7 @@ class Chunks:
 
 
 def chunk_rows(docs: DataFrame) -> DataFrame:
-    """hash, doc_id: the distinct chunks of each document, with some bits of the hash of the chunks before and after the first copy (0: none)."""
+    """hash, doc_id, last, next: the distinct chunks of each document, with the neighbours of the first copy."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -128,10 +135,7 @@ def chunk_rows(docs: DataFrame) -> DataFrame:
                 h, d = c.hash[order], c.doc[order]
                 new = np.ones(len(h), bool)
                 new[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1])
-                inner = c.doc[1:] == c.doc[:-1]
-                bits = c.hash.astype(np.int32) | 1
-                last, next_ = np.zeros((2, len(h)), np.int32)
-                last[1:][inner], next_[:-1][inner] = bits[:-1][inner], bits[1:][inner]
+                last, next_ = c.neighbours()
                 ids = batch.column(0).slice(at, len(some)).take(pa.array(d[new]))
                 yield pa.record_batch([pa.array(h[new]), ids, pa.array(last[order][new]), pa.array(next_[order][new])], names=["hash", "doc_id", "last", "next"])
 
@@ -187,34 +191,50 @@ def kept(c: Chunks, i: int, shared: dict[int, tuple[bytes, bytes, bytes]], least
     return [(x, y) for x, y in out if y > x]
 
 
+def least(shared: Iterable[dict]) -> dict[int, tuple[bytes, bytes, bytes]]:
+    """By hash: a chunk's bytes, and the least ones before and after it that were sent."""
+    out: dict[int, tuple[bytes, bytes, bytes]] = {}
+    for x in shared:
+        found = x["bytes"], x["before"], x["after"]
+        if x["hash"] in out:
+            found = tuple(min((z for z in y if z is not None), default=None) for y in zip(out[x["hash"]], found))
+        out[x["hash"]] = found
+    return {h: (b, before or b"", after or b"") for h, (b, before, after) in out.items()}
+
+
 def deduplicate(docs: DataFrame, *, least_lines: int = LEAST_LINES, least_words: int = LEAST_WORDS) -> DataFrame:
     """docs with a new ``text``, and ``n_chars`` where there is one."""
     rows = chunk_rows(docs)
-    edges = [(F.min(x) < F.max(x)).alias(x) for x in ("last", "next")]
-    shared = rows.groupBy("hash").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("most"), *edges).where("owner < most").drop("most")
-    uses = kit.written(rows.select("hash", "doc_id").join(shared, "hash"), "shared-chunks")
+    shared = rows.groupBy("hash").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("most")).where("owner < most").select("hash", "owner")
+    uses = kit.written(rows.join(shared, "hash"), "shared-chunks")
     names = [f"in_{i}" for i in range(len(docs.columns))]
     text = docs.columns.index("text")
     # Both passes read the same exchange of the texts.
     own = docs.toDF(*names).withColumn("key", F.col(names[docs.columns.index("doc_id")]).cast("long"))
-    mine = uses.where("doc_id = owner").groupBy("doc_id").agg(F.collect_list(F.struct("hash", "last", "next")).alias("wanted")).withColumnRenamed("doc_id", "key")
+    edges = [(F.min(x) < F.max(x)).alias(x) for x in ("last", "next")]
+    wanted = uses.groupBy("hash").agg(F.min("owner").alias("key"), *edges)
+    mine = wanted.groupBy("key").agg(F.collect_list(F.struct("hash", "last", "next")).alias("wanted"))
 
     def give(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, some in slices(as_strings(batch.column(batch.schema.get_field_index(names[text]))), SLICE_BYTES):
                 c, wanted = Chunks(some), batch.column(batch.num_columns - 1).slice(at, len(some)).to_pylist()
-                out = {}
+                last, next_ = c.neighbours()
+                out: list[list] = [[], [], [], [], [], []]
                 for i, these in enumerate(wanted):
                     left = {x["hash"]: x for x in these}
                     for k in range(int(c.at[i]), int(c.at[i + 1])):
                         if x := left.pop(h := int(c.hash[k]), None):
-                            found = c.bytes(k), c.before(k) if x["last"] else b"", c.after(k) if x["next"] else b""
-                            out[h] = tuple(map(min, out[h], found)) if h in out else found
-                columns = zip(*out.values()) if out else ((), (), ())
-                yield pa.record_batch([pa.array(list(out), pa.int64()), *(pa.array(x, pa.binary()) for x in columns)], names=["hash", "bytes", "before", "after"])
+                            for column, value in zip(out, (h, c.bytes(k), last[k], next_[k], c.before(k) if x["last"] else None, c.after(k) if x["next"] else None)):
+                                column.append(value)
+                yield pa.record_batch([pa.array(x, t) for x, t in zip(out, types)], names=["hash", "bytes", "last", "next", "before", "after"])
 
-    given = own.join(mine, "key").transform(kit.arrow(give, "hash long, bytes binary, before binary, after binary"))
-    theirs = uses.where("doc_id <> owner").select("hash", F.col("doc_id").alias("key")).join(given, "hash").groupBy("key").agg(F.collect_list(F.struct("hash", "bytes", "before", "after")).alias("shared"))
+    types = [pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+    given = own.join(mine, "key").transform(kit.arrow(give, "hash long, bytes binary, last int, next int, before binary, after binary")).alias("given")
+    met = uses.where("doc_id <> owner").select("hash", "doc_id", "last", "next").alias("met").join(given, "hash")
+    # A chunk with the owner's neighbour is inside its run there.
+    around = [F.when(F.col(f"met.{x}") != F.col(f"given.{x}"), F.col(side)).alias(side) for x, side in (("last", "before"), ("next", "after"))]
+    theirs = met.select(F.col("doc_id").alias("key"), F.struct("hash", "bytes", *around).alias("x")).groupBy("key").agg(F.collect_list("x").alias("shared"))
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -230,11 +250,7 @@ def deduplicate(docs: DataFrame, *, least_lines: int = LEAST_LINES, least_words:
                 out: list = some.to_pylist()
                 for i in range(len(some)):
                     if many[i] and (given_[i] or twice[i]):
-                        theirs_: dict[int, tuple[bytes, bytes, bytes]] = {}
-                        for x in given_[i] or ():
-                            found = x["bytes"], x["before"], x["after"]
-                            theirs_[x["hash"]] = tuple(map(min, theirs_.get(x["hash"], found), found))
-                        spans = kept(c, i, theirs_, least_lines, least_words)
+                        spans = kept(c, i, least(given_[i] or ()), least_lines, least_words)
                         out[i] = b"".join(c.data[a:b].tobytes() for a, b in spans).decode()
                 columns = part.columns[:-1]
                 columns[text] = pa.array(out, pa.string())
