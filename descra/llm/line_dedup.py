@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from descra.llm import kit, words
 from descra.llm.tokens import as_strings, slices
 
-LEAST_LINES, LEAST_WORDS, LONG_WORDS, SLICE_BYTES = 2, 16, 50, 2 << 20
+LEAST_LINES, LEAST_WORDS, LONG_WORDS, SLICE_BYTES = 2, 16, 50, 1 << 17
 #: A bound is certain from the third whole line of a passage, and chunks have two lines: with the cut line, three chunks.
 EDGE_CHUNKS = 3
 #: Words with the white space that follows, and that leads.
@@ -78,12 +78,13 @@ class Chunks:
             return
         feeds = np.concatenate([[0], np.cumsum(self.data == 10)])
         # A line begins with a text, after a line feed and after a selected word.
-        chosen = lows(words.hashes(self.data, begin, end), doc)
+        total = words.sums(self.data)
+        chosen = lows(words.hashes(self.data, begin, end, total), doc)
         new = np.ones(n, bool)
         new[1:] = (doc[1:] != doc[:-1]) | (feeds[begin[1:]] > feeds[end[:-1]]) | chosen[:-1]
         line = np.flatnonzero(new)
         line_last = np.append(line[1:], n) - 1
-        hashed = words.hashes(self.data, begin[line], end[line_last])
+        hashed = words.hashes(self.data, begin[line], end[line_last], total)
         line_doc = doc[line]
         opens = np.ones(len(line), bool)
         opens[1:] = line_doc[1:] != line_doc[:-1]
@@ -100,7 +101,7 @@ class Chunks:
         self.lines = chunk_last - chunk + 1
         self.words = line_last[chunk_last] - line[chunk] + 1
         self.begin, self.stop = begin[line[chunk]], end[line_last[chunk_last]]
-        self.hash = words.hashes(self.data, self.begin, self.stop).view(np.int64)
+        self.hash = words.hashes(self.data, self.begin, self.stop, total).view(np.int64)
         self.at = np.searchsorted(self.doc, np.arange(len(texts) + 1))
         # What follows a chunk up to the next belongs to it; what leads a text, to its first.
         self.end = np.append(self.begin[1:], 0)
@@ -204,12 +205,15 @@ def least(shared: Iterable[dict]) -> dict[int, tuple[bytes, bytes, bytes]]:
 
 def deduplicate(docs: DataFrame, *, least_lines: int = LEAST_LINES, least_words: int = LEAST_WORDS) -> DataFrame:
     """docs with a new ``text``, and ``n_chars`` where there is one."""
-    rows = chunk_rows(docs)
+    spark = docs.sparkSession
+    rows, path = chunk_rows(docs), kit.scratch(spark, "line-chunks")
+    kit.write(rows, path)  # read twice
+    rows = spark.read.schema(rows.schema).parquet(path)
     shared = rows.groupBy("hash").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("most")).where("owner < most").select("hash", "owner")
     uses = kit.written(rows.join(shared, "hash"), "shared-chunks")
+    kit.drop(spark, path)
     names = [f"in_{i}" for i in range(len(docs.columns))]
     text = docs.columns.index("text")
-    # Both passes read the same exchange of the texts.
     own = docs.toDF(*names).withColumn("key", F.col(names[docs.columns.index("doc_id")]).cast("long"))
     edges = [(F.min(x) < F.max(x)).alias(x) for x in ("last", "next")]
     wanted = uses.groupBy("hash").agg(F.min("owner").alias("key"), *edges)
@@ -230,7 +234,8 @@ def deduplicate(docs: DataFrame, *, least_lines: int = LEAST_LINES, least_words:
                 yield pa.record_batch([pa.array(x, t) for x, t in zip(out, types)], names=["hash", "bytes", "last", "next", "before", "after"])
 
     types = [pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
-    given = own.join(mine, "key").transform(kit.arrow(give, "hash long, bytes binary, last int, next int, before binary, after binary")).alias("given")
+    # Written, so that the texts of one pass at a time lie in shuffle files.
+    given = kit.written(own.select("key", names[text]).join(mine, "key").transform(kit.arrow(give, "hash long, bytes binary, last int, next int, before binary, after binary")), "owned-chunks").alias("given")
     met = uses.where("doc_id <> owner").select("hash", "doc_id", "last", "next").alias("met").join(given, "hash")
     # A chunk with the owner's neighbour is inside its run there.
     around = [F.when(F.col(f"met.{x}") != F.col(f"given.{x}"), F.col(side)).alias(side) for x, side in (("last", "before"), ("next", "after"))]

@@ -65,10 +65,18 @@ def cut(data: np.ndarray, offsets: np.ndarray, of_word: np.ndarray) -> tuple[np.
     return begin, end_at, np.searchsorted(begin, offsets)
 
 
-def hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each [begin, end)."""
-    up, down = _powers(len(data) + 1)
+def sums(data: np.ndarray) -> np.ndarray:
+    """Running sums from which ``hashes`` are taken; worth keeping for several calls over the same bytes."""
+    up, _ = _powers(len(data) + 1)
+    total = np.zeros(len(data) + 1, np.uint64)
     with np.errstate(over="ignore"):
-        total = np.zeros(len(data) + 1, np.uint64)
         np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=total[1:])
+    return total
+
+
+def hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray, total: np.ndarray | None = None) -> np.ndarray:
+    """A 64-bit hash of each [begin, end)."""
+    total = sums(data) if total is None else total
+    _, down = _powers(len(data) + 1)
+    with np.errstate(over="ignore"):
         return mix((total[end] - total[begin]) * down[begin] + mix((end - begin).astype(np.uint64)))
