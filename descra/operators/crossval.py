@@ -1,9 +1,10 @@
 """Nested cross-validation: a row a task, a grouped map over tasks, results as one table.
 
 A task is (target, technique, outer fold).  Its group is the assay table of that
-target, some hundreds of rows, copied by a join on the target; tasks are spread
-by their id, so that a slow technique does not fill one partition.  A task that
-fails gives a row with the reason.
+target, copied by a join on the target: mostly some hundreds of rows, and no
+more than a worker can hold.  Tasks are spread by their id, so that a slow
+technique does not fill one partition.  A task that fails gives a row with the
+reason.
 """
 
 from __future__ import annotations
@@ -138,9 +139,9 @@ def run_task(table: pd.DataFrame, technique: Technique, outer: int, features: li
                 _, p = trained(kind, settings, x[a][:, keep], y[a], x[b][:, keep])
             except ValueError:
                 p = np.full(len(b), np.nan)
-            pooled[n][0].extend(y[b])
-            pooled[n][1].extend(p)
-    inner_scores = [kernels.scores(*p)["spearman"] if p[0] else None for p in pooled]
+            pooled[n][0].append(y[b])
+            pooled[n][1].append(p)
+    inner_scores = [kernels.scores(*map(np.concatenate, p))["spearman"] if p[0] else None for p in pooled]
     key = lambda n: (-np.inf if inner_scores[n] is None else inner_scores[n], options[n][1].get("alpha", 0.0), options[n][1].get("l1_ratio", 0.0), options[n][0])
     x, names = design(table, features, text, train)
     if not flat:

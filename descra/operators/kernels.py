@@ -1,4 +1,6 @@
-"""Small regression models and feature selection in numpy, for task rows that hold a small training matrix.
+"""Regression models and feature selection in numpy, for tasks whose training matrix fits a worker.
+
+No model forms all pairs of rows: beside the matrix and the model itself memory is in proportion to the rows.
 
 Every model takes plain arrays and is a dict of plain parameters, so a fitted
 model is data that any process can read.
@@ -69,28 +71,80 @@ def fit_elasticnet(x: np.ndarray, y: np.ndarray, alpha: float = 1.0, l1_ratio: f
     return {"coef": coef, "intercept": float(y.mean() - mean @ coef), "scaled_coef": b}
 
 
+def svm_start(x: np.ndarray, y: np.ndarray, c: float, epsilon: float, least: float) -> np.ndarray:
+    """Dual variables (alpha - alpha*) near those of the linear epsilon-insensitive regression; they sum to 0.
+
+    Newton steps on the loss with its corners rounded off over a width that falls to ``least``.  The derivatives of the
+    rounded loss are dual variables whose largest violation is that width.
+    """
+    n = len(x)
+    z = np.column_stack([x, np.ones(n)])
+    ridge = np.append(np.ones(x.shape[1]), 0.0)
+    w = np.append(np.zeros(x.shape[1]), np.median(y))
+    width = max(float(np.ptp(y)), least)
+    beta = np.zeros(n)
+
+    def at(w: np.ndarray, width: float) -> tuple[float, np.ndarray, np.ndarray]:
+        r = y - z @ w
+        over = np.clip((np.abs(r) - epsilon) / width, 0.0, None)
+        part = np.minimum(over, 1.0)
+        return 0.5 * float(ridge @ (w * w)) + c * width * float((part * (over - 0.5 * part)).sum()), c * part * np.sign(r), (over > 0) & (over < 1)
+
+    while True:
+        value, beta, bent = at(w, width)
+        for _ in range(50):
+            slope = ridge * w - z.T @ beta
+            if np.abs(slope).max() <= 1e-9 * c * n:
+                break
+            own = z[bent]
+            bend = np.diag(ridge + 1e-9) + c / width * (own.T @ own)
+            step, size = np.linalg.solve(bend, slope), 1.0
+            # Near the end the value says nothing below its own rounding; the slope does.
+            while size > 1e-6 and not ((found := at(w - size * step, width))[0] < value or np.abs(ridge * (w - size * step) - z.T @ found[1]).max() < 0.5 * np.abs(slope).max()):
+                size /= 2
+            if size <= 1e-6:
+                break
+            w = w - size * step
+            value, beta, bent = found
+        if width <= least:
+            break
+        width = max(width / 4, least)
+    # What rounding leaves of the sum goes to variables that have room, those between their bounds first.
+    for i in np.argsort(np.abs(beta) >= c, kind="stable"):
+        rest = float(beta.sum())
+        if abs(rest) <= 1e-12 * c * n:
+            break
+        beta[i] = min(max(beta[i] - rest, -c), c)
+    return beta
+
+
 def fit_svm(x: np.ndarray, y: np.ndarray, c: float = 1.0, epsilon: float = 0.1, tol: float = 1e-3, steps: int = 200_000) -> dict:
-    """Linear epsilon-insensitive regression: the dual by pairs of the largest violation."""
+    """Linear epsilon-insensitive regression: the dual by pairs of the largest violation.
+
+    Of the products of all rows with all rows only the two columns of a pair are there at a time.  Where rows are many
+    for their columns, the pairs start from ``svm_start``.
+    """
     n = len(x)
-    k = x @ x.T
     # Two variables a point: beta = alpha - alpha*; gradients of the dual for each.
-    alpha = np.zeros(2 * n)
+    beta = svm_start(x, y, c, epsilon, tol / 4) if n > 4 * x.shape[1] else np.zeros(n)
+    alpha = np.concatenate([np.maximum(beta, 0.0), np.maximum(-beta, 0.0)])
     sign = np.concatenate([np.ones(n), -np.ones(n)])
-    gradient = np.concatenate([epsilon - y, epsilon + y])
-    for _ in range(steps):
+    made = x @ (x.T @ beta)
+    gradient = np.concatenate([epsilon - y + made, epsilon + y - made])
+    for _ in range(max(steps, 100 * n)):
         score = -sign * gradient
         up = ((sign > 0) & (alpha < c)) | ((sign < 0) & (alpha > 0))
         low = ((sign > 0) & (alpha > 0)) | ((sign < 0) & (alpha < c))
         i, j = int(np.where(up, score, -np.inf).argmax()), int(np.where(low, score, np.inf).argmin())
         if score[i] - score[j] < tol:
             break
-        a, b = i % n, j % n
-        eta = max(k[a, a] + k[b, b] - 2 * k[a, b], 1e-12)
+        apart = x[i % n] - x[j % n]
+        eta = max(float(apart @ apart), 1e-12)
         step = (score[i] - score[j]) / eta
         step = min(step, c - alpha[i] if sign[i] > 0 else alpha[i], alpha[j] if sign[j] > 0 else c - alpha[j])
         alpha[i] += sign[i] * step
         alpha[j] -= sign[j] * step
-        change = step * (k[:, a] - k[:, b])
+        change = step * (x @ apart)
         gradient += sign * np.concatenate([change, change])
     beta = alpha[:n] - alpha[n:]
     score = -sign * gradient
@@ -108,38 +162,78 @@ def fit_knn(x: np.ndarray, y: np.ndarray, k: int = 5, weights: str = "uniform")
 
 
 def fit_tree(x: np.ndarray, y: np.ndarray, rng: np.random.Generator, share: float = 1.0, least: int = 1, depth: int = 64) -> dict:
-    feature, at, left, right, value, gain = [], [], [], [], [], np.zeros(x.shape[1])
-
-    def grow(rows: np.ndarray, level: int) -> int:
-        node = len(value)
-        for some in (feature, left, right):
-            some.append(-1)
-        at.append(0.0)
-        value.append(float(y[rows].mean()))
-        best = (1e-12, -1, 0.0)
-        if len(rows) >= 2 * least and level < depth and np.ptp(y[rows]) > 0:
-            some = rng.choice(x.shape[1], max(1, round(share * x.shape[1])), replace=False) if share < 1 else range(x.shape[1])
-            total, n = y[rows].sum(), len(rows)
-            for f in some:
-                order = rows[np.argsort(x[rows, f], kind="stable")]
-                v, s = x[order, f], np.cumsum(y[order])[:-1]
-                i = np.arange(1, n)
-                good = (v[1:] > v[:-1]) & (i >= least) & (n - i >= least)
-                if good.any():
-                    better = np.where(good, s**2 / i + (total - s) ** 2 / (n - i) - total**2 / n, -np.inf)
-                    k = int(better.argmax())
-                    if better[k] > best[0]:
-                        best = (float(better[k]), int(f), float((v[k] + v[k + 1]) / 2))
-        if best[1] >= 0:
-            _, f, cut = best
-            gain[f] += best[0]
-            feature[node], at[node] = f, cut
-            left[node] = grow(rows[x[rows, f] <= cut], level + 1)
-            right[node] = grow(rows[x[rows, f] > cut], level + 1)
-        return node
-
-    grow(np.arange(len(x)), 0)
-    return {"feature": np.array(feature), "at": np.array(at), "left": np.array(left), "right": np.array(right), "value": np.array(value), "gain": gain}
+    """Splits of the largest fall of the squared error, the nodes of a level at once; columns are sorted once."""
+    n, p = x.shape
+    feature, at, left, right, value, gain = [], [], [], [], [], np.zeros(p)
+    # The rows of the open nodes, node after node, in the order of each column; bounds of the nodes.
+    order = [np.argsort(x[:, f], kind="stable") for f in range(p)]
+    rows, size, made = np.arange(n), np.array([n]), 1
+    for level in range(depth + 1):
+        first = np.cumsum(size) - size
+        mean = np.add.reduceat(y[rows], first) / size
+        low, high = np.minimum.reduceat(y[rows], first), np.maximum.reduceat(y[rows], first)
+        value.append(np.where(low == high, low, mean))
+        of = np.repeat(np.arange(len(size)), size)
+        best, by, cut = np.full(len(size), 1e-12), np.full(len(size), -1), np.zeros(len(size))
+        open_ = (size >= 2 * least) & (high > low) & (level < depth)
+        if open_.any():
+            tried = np.ones((len(size), p), bool)
+            if share < 1:
+                tried[:] = False
+                for k in range(len(size)):
+                    tried[k, rng.choice(p, max(1, round(share * p)), replace=False)] = True
+            i = np.arange(len(rows)) - first[of] + 1
+            rest = size[of] - i
+            inside = (open_[of]) & (i >= least) & (rest >= max(least, 1))
+            weight = size[of] / (i * np.maximum(rest, 1))
+            for f in range(p):
+                o = order[f]
+                v = x[o, f]
+                good = inside & tried[of, f]
+                good[:-1] &= v[1:] > v[:-1]
+                good[-1] = False
+                better = np.where(good, np.cumsum(y[o] - mean[of]) ** 2 * weight, -np.inf)
+                most = np.maximum.reduceat(better, first)
+                if (more := most > best).any():
+                    where = np.flatnonzero((better == most[of]) & more[of])
+                    k, place = np.unique(of[where], return_index=True)
+                    where = where[place]
+                    middle = (v[where] + v[where + 1]) / 2
+                    best[k], by[k], cut[k] = most[k], f, np.where(middle < v[where + 1], middle, v[where])
+        split = by >= 0
+        np.add.at(gain, by[split], best[split])
+        feature.append(by)
+        at.append(cut)
+        children = made + 2 * np.cumsum(split) - 2
+        left.append(np.where(split, children, -1))
+        right.append(np.where(split, children + 1, -1))
+        made += 2 * int(split.sum())
+        if not split.any():
+            break
+        goes = np.zeros(n, bool)
+        own = split[of]
+        goes[rows[own]] = x[rows[own], by[of[own]]] <= cut[of[own]]
+        # The same rows of open nodes again, those that go left before those that go right.
+        size = size[split]
+        first, of = np.cumsum(size) - size, np.repeat(np.arange(len(size)), size)
+
+        def dealt(o: np.ndarray) -> np.ndarray:
+            o = o[own]
+            is_left = goes[o]
+            before = np.cumsum(is_left) - is_left
+            before = before - before[first][of]
+            n_left = np.add.reduceat(is_left.astype(np.int64), first)
+            within = np.arange(len(o)) - first[of]
+            out = np.empty_like(o)
+            out[first[of] + np.where(is_left, before, n_left[of] + within - before)] = o
+            return out
+
+        n_left = np.add.reduceat(goes[rows[own]].astype(np.int64), first)
+        order = [dealt(o) for o in order]
+        rows = dealt(rows)
+        size = np.stack([n_left, size - n_left], 1).ravel()
+    small = lambda some: np.concatenate(some).astype(np.int32)  # noqa: E731  a forest holds twice as many nodes a tree as rows
+    return {"feature": small(feature), "at": np.concatenate(at), "left": small(left), "right": small(right), "value": np.concatenate(value), "gain": gain}
 
 
 def fit_forest(x: np.ndarray, y: np.ndarray, trees: int = 100, seed: int = 42, share: float = 1.0, least: int = 1) -> dict:
@@ -151,22 +245,84 @@ def fit_forest(x: np.ndarray, y: np.ndarray, trees: int = 100, seed: int = 42, s
     return {"trees": out, "importance": gain}
 
 
+#: Numbers of a block of distances.
+BLOCK = 1 << 20
+
+
+def nearest(known: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Index and distance of the k known rows nearest to each row of x, the first of equally near ones first.
+
+    A block of rows of x, neighbours along the column that varies most, meets the known rows within its reach on that
+    column: the distance of the k-th of some known rows is no less than that of the k-th of all.
+    """
+    # Of equal known rows no more than the first k can be among the nearest.
+    _, same = np.unique(known, axis=0, return_inverse=True)
+    order = np.argsort(same := same.ravel(), kind="stable")
+    n = np.bincount(same)
+    few = np.sort(order[np.arange(len(order)) - np.repeat(np.cumsum(n) - n, n) < k])
+    wide = int(known[few].std(0).argmax())
+    few = few[np.argsort(known[few, wide], kind="stable")]
+    part = known[few]
+    line = np.ascontiguousarray(part[:, wide])
+    index, distance = np.empty((len(x), k), np.int64), np.empty((len(x), k))
+
+    def apart(q: np.ndarray, a: int, b: int) -> np.ndarray:
+        total = np.zeros((len(q), b - a))
+        for j in range(q.shape[1]):
+            d = q[:, j, None] - part[None, a:b, j]
+            d *= d
+            total += d
+        return np.nan_to_num(np.sqrt(total, out=total), copy=False, nan=np.inf, posinf=np.inf)
+
+    along = np.argsort(x[:, wide], kind="stable")
+    at = 0
+    while at < len(x):
+        some = along[at : at + 128]
+        q = x[some]
+        lo, hi = q[0, wide], q[-1, wide]
+        a, b = (int(np.searchsorted(line, v, side)) for v, side in ((lo, "left"), (hi, "right")))
+        a, b = max(0, a - 4 * k), min(len(few), b + 4 * k)
+        if (b - a) * len(some) > BLOCK:
+            middle = (a + b) // 2
+            a, b = middle - BLOCK // len(some) // 2, middle + BLOCK // len(some) // 2
+        if b - a < k:
+            a, b = 0, len(few)
+        reach = float(np.partition(apart(q, a, b), k - 1, axis=1)[:, k - 1].max()) * (1 + 1e-9)
+        a, b = (int(np.searchsorted(line, lo - reach, "left")), int(np.searchsorted(line, hi + reach, "right"))) if np.isfinite(reach) else (0, len(few))
+        # As many rows as fit a block, one at least; their reach is no more than that of all.
+        some = some[: max(1, BLOCK // (b - a))]
+        d = apart(x[some], a, b)
+        row, column = np.nonzero(d <= np.partition(d, k - 1, axis=1)[:, k - 1, None])
+        far, own = d[row, column], few[a:b][column]
+        by = np.lexsort((own, far, row))
+        row = row[by]
+        top = by[(np.arange(len(row)) - np.searchsorted(row, np.arange(len(some)))[row]) < k]
+        index[some], distance[some] = own[top].reshape(-1, k), far[top].reshape(-1, k)
+        at += len(some)
+    return index, distance
+
+
 def predict(model: dict, x: np.ndarray) -> np.ndarray:
     if "coef" in model:
         return x @ np.asarray(model["coef"], float) + model["intercept"]
+    # Equal rows have equal predictions.
+    x, place = np.unique(x, axis=0, return_inverse=True)
+    return _predict(model, x)[place.ravel()]
+
+
+def _predict(model: dict, x: np.ndarray) -> np.ndarray:
     if "trees" in model:
         total = np.zeros(len(x))
         for t in model["trees"]:
-            node = np.zeros(len(x), np.int64)
-            while (inner := t["feature"][node] >= 0).any():
-                go = x[np.arange(len(x)), np.maximum(t["feature"][node], 0)] <= t["at"][node]
-                node = np.where(inner, np.where(go, t["left"][node], t["right"][node]), node)
+            node, live = np.zeros(len(x), np.int64), np.arange(len(x))
+            while len(live := live[t["feature"][node[live]] >= 0]):
+                own = node[live]
+                go = x[live, t["feature"][own]] <= t["at"][own]
+                node[live] = np.where(go, t["left"][own], t["right"][own])
             total += t["value"][node]
         return total / len(model["trees"])
-    known, y = np.asarray(model["x"], float), np.asarray(model["y"], float)
-    d = np.sqrt(np.maximum(((x[:, None] - known[None]) ** 2).sum(2), 0))
-    near = np.argsort(d, axis=1, kind="stable")[:, : model["k"]]
-    far = np.take_along_axis(d, near, 1)
+    y = np.asarray(model["y"], float)
+    near, far = nearest(np.asarray(model["x"], float), x, int(model["k"]))
     if model["weights"] == "distance":
         with np.errstate(divide="ignore"):
             w = 1 / far

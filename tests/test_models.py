@@ -51,6 +51,63 @@ def test_knn_and_forest():
         kernels.fit("gpr", x, y)
 
 
+def brute_tree(x, y, least):
+    """Prediction of the tree of the largest falls of the squared error, node by node."""
+    n, best = len(y), (1e-9, None, None)
+    for f in range(x.shape[1]):
+        for v, w in zip(u := np.unique(x[:, f]), u[1:]):
+            a = x[:, f] <= (v + w) / 2
+            if min(a.sum(), n - a.sum()) >= least:
+                fall = n * y.var() - a.sum() * y[a].var() - (~a).sum() * y[~a].var()
+                if fall > best[0]:
+                    best = (fall, f, (v + w) / 2)
+    if best[1] is None:
+        return lambda q: np.full(len(q), y.mean())
+    a = x[:, best[1]] <= best[2]
+    left, right = brute_tree(x[a], y[a], least), brute_tree(x[~a], y[~a], least)
+    return lambda q: np.where(q[:, best[1]] <= best[2], left(q), right(q))
+
+
+def test_trees_and_neighbours_are_those_of_brute_force():
+    r = np.random.default_rng(4)
+    x, q = r.random((300, 3)), r.random((200, 3))
+    x[:, 0] = np.floor(6 * x[:, 0])
+    y = 1000 * r.random(300)
+    for least in (4, 30):
+        tree = kernels.fit_tree(x, y, r, least=least)
+        assert kernels.predict({"trees": [tree]}, q) == pytest.approx(brute_tree(x, y, least)(q))
+    assert kernels.predict({"trees": [kernels.fit_tree(x, y, r)]}, x) == pytest.approx(y)
+    # Equal and equally near rows: the first ones count, also where blocks are small.
+    for known, rows in ((x, q), (np.round(x[r.integers(30, size=300)], 1), np.round(q, 1)), (np.round(x[:, :1]), np.round(q[:, :1])), (np.ones((7, 2)), np.zeros((3, 2)))):
+        d = np.sqrt(((rows[:, None] - known[None]) ** 2).sum(2))
+        want = np.argsort(d, axis=1, kind="stable")[:, :5]
+        for block in (kernels.BLOCK, 40):
+            with pytest.MonkeyPatch.context() as m:
+                m.setattr(kernels, "BLOCK", block)
+                index, far = kernels.nearest(known, rows, 5)
+            assert index.tolist() == want.tolist() and far.tolist() == np.take_along_axis(d, want, 1).tolist()
+
+
+def test_no_model_forms_all_pairs_of_rows():
+    import tracemalloc
+
+    r = np.random.default_rng(6)
+    x, y = r.random((6000, 3)), 10000 * r.random(6000) - 1000
+    for kind, settings in (("svm", {}), ("knn", {"weights": "distance"}), ("randomforest", {"trees": 2})):
+        tracemalloc.start()
+        m = kernels.fit(kind, x, y, **settings)
+        kernels.predict(m, x[::-1] / 2)
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert most < 80e6, (kind, most)  # a matrix of all pairs takes 288 MB
+        if kind == "svm":  # the dual of this model is as good as the model
+            beta = np.clip((y - kernels.predict(m, x)) * 1e6, -1, 1)
+            w, b = m["coef"], m["intercept"]
+            loss = 0.5 * w @ w + np.maximum(np.abs(y - x @ w - b) - 0.1, 0).sum()
+            assert np.abs(x.T @ beta - w).max() < 5 and abs(beta.sum()) < 5
+            assert all(0.5 * v @ v + np.maximum(np.abs(y - x @ v - b - s) - 0.1, 0).sum() >= loss - 1 for s in (0.0, 1.0, -1.0) for v in (w * 0.99, w * 1.01, w + [1, 0, 0], w - [0, 1, 0], w + [0, 0, 1]))
+
+
 def test_selectors_find_the_signal():
     x, y = data(60)
     folds = [(np.arange(60)[np.arange(60) % 4 != k], np.arange(60)[np.arange(60) % 4 == k]) for k in range(4)]
